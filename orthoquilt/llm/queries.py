@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from orthoquilt.llm.bpe import op1_bpe_encode_decode
 from orthoquilt.llm.chunks import op4_document_fingerprints
 from orthoquilt.llm.packing import op3_packing
+from orthoquilt.llm.quality_rules import OP7_SQL, op7_quality_rules
 from orthoquilt.llm.simhash import op2_simhash
 from orthoquilt.llm.token_counts import op9_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash, op3_packing, op4_document_fingerprints, op9_token_counts)
+    f.__name__: f for f in (op1_bpe_encode_decode, op2_simhash, op3_packing, op4_document_fingerprints, op7_quality_rules, op9_token_counts)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
