@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoquilt.llm.common import bounded_or_shuffled, stored, table
+from orthoquilt.llm.common import bounded_or_shuffled, let, stored, table
 
 LEAST_WORDS = 50
 MOST_REPEATED = 50
@@ -26,11 +26,6 @@ _BLANKS = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def let(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that is computed once; a plain column would be put into each use, lambdas included."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def with_statistics(df: DataFrame, name: str = "__rules", text: str = "text") -> DataFrame:
     """df with a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     own = df.columns
@@ -74,13 +69,12 @@ def rejected_hosts(judged: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     hosts = stored(judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("f")), "hosts")
     rate = F.col("f") / F.col("n")
     mean = F.sum("f") / F.sum("n")
-    moments = hosts.agg(
-        mean.alias("m"),
-        (F.sum(F.col("n") * rate * rate) / F.sum("n") - mean * mean).alias("v"),
-    )  # one row
-    strength = F.when(F.col("v") > 1e-12, F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(STRONGEST)
-    shrunk = F.round((F.col("f") + F.col("m") * F.col("k")) / (F.col("n") + F.col("k")), 9)
-    return hosts.crossJoin(F.broadcast(moments.select("m", strength.alias("k")))).where(shrunk > limit).select("host")
+    m, v = hosts.agg(mean, F.sum(F.col("n") * rate * rate) / F.sum("n") - mean * mean).first()  # one row
+    if m is None:
+        return hosts.select("host")
+    k = min(STRONGEST, max(WEAKEST, m * (1 - m) / v - 1)) if v > 1e-12 else STRONGEST
+    shrunk = F.round((F.col("f") + m * k) / (F.col("n") + k), 9)
+    return hosts.where(shrunk > limit).select("host")
 
 
 def judged_documents(df: DataFrame) -> DataFrame:
