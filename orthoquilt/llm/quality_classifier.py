@@ -2,8 +2,9 @@
 
 A text becomes a short vector of statistics, each transformed so that it is roughly normal within a
 class. Class means and covariances come from sums over all labelled rows, added up where the rows are;
-the covariances are shrunk to their diagonal and to the pooled one. The score is the posterior
-chance of label 1, from the difference of the two log densities, whose Mahalanobis terms use Cholesky factors computed once.
+the covariances are shrunk to their diagonal and to the pooled one. The difference of the two log densities, whose
+Mahalanobis terms use Cholesky factors computed once, becomes a chance of label 1 by a logistic curve that is fitted
+to the histogram of the differences of all labelled rows (classes are not exactly normal, so the plain posterior is too sure).
 
 Null and empty texts have the statistics of no words and are scored like any other; very long texts are
 taken whole; repeated rows get a row each; labels that repeat for an id count once (the highest), null labels not at all;
@@ -32,6 +33,8 @@ FEATURES = (
     "words", "word_length", "distinct", "upper", "symbols", "marks", "bars", "stops", "digits", "repeated", "doubled", "equal_lines", "top_word",
 )
 _TINY = 0.002
+#: Differences are counted in whole numbers up to here, either way, and taken as this if larger.
+FARTHEST = 500
 
 
 def statistics(text: str | None) -> list[float]:
@@ -77,16 +80,43 @@ def with_statistics(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Of each label: mean, inverse of the Cholesky factor, log determinant and log share."""
+    """Of each label: mean, inverse of the Cholesky factor, log determinant and log share; slope and shift of the curve."""
 
     classes: list[tuple[np.ndarray, np.ndarray, float, float]]
     share: float
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def differences(self, x: np.ndarray) -> np.ndarray:
+        bad, good = ((((x - m) @ inverse.T) ** 2).sum(1) * -0.5 - det / 2 + prior for m, inverse, det, prior in self.classes)
+        return np.clip(good - bad, -FARTHEST, FARTHEST)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
             return np.full(len(x), self.share)
-        bad, good = ((((x - m) @ inverse.T) ** 2).sum(1) * -0.5 - det / 2 + prior for m, inverse, det, prior in self.classes)
-        return 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.differences(x) + self.shift, -700, 700)))
+
+
+def curve(at: np.ndarray, n0: np.ndarray, n1: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through the counts of labels 0 and 1 at each difference, by damped
+    Newton steps; targets are drawn in by a row of each label (as for calibrated margins), so separable rows have a fit too."""
+    high, low = (n1.sum() + 1) / (n1.sum() + 2), 1 / (n0.sum() + 2)
+    scale = max(1.0, float(np.abs(at).max()))
+    z, n, hits = at / scale, n0 + n1, n1 * high + n0 * low
+    w = np.array([0.0, math.log(high / low)])
+    loss = lambda w: float((n * np.logaddexp(0, w[0] * z + w[1]) - hits * (w[0] * z + w[1])).sum()) + 1e-6 * float(w @ w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(w[0] * z + w[1], -700, 700)))
+        g = np.array([((n * p - hits) * z).sum(), (n * p - hits).sum()]) + 2e-6 * w
+        v = n * p * (1 - p)
+        step = np.linalg.solve(np.array([[(v * z * z).sum() + 1e-6, (v * z).sum()], [(v * z).sum(), v.sum() + 1e-6]]), g)
+        now, t = loss(w), 1.0
+        while t > 1e-6 and loss(w - t * step) > now:
+            t /= 2
+        w = w - t * step
+        if np.abs(t * step).max() < 1e-9:
+            break
+    return float(w[0] / scale), float(w[1])
 
 
 def model_of(n: dict[int, float], sums: dict[int, np.ndarray], squares: dict[int, np.ndarray]) -> Model:
@@ -122,14 +152,30 @@ def learned(stats: DataFrame, labels: DataFrame) -> Model:
                 t += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([total[0].tolist(), total[1].tolist()], pa.list_(pa.float64()))], ["k", "v"])
 
-    parts = stats.join(bounded_or_shuffled(known), "doc_id").select("x", "quality").mapInArrow(add, "k int, v array<double>")
-    rows = parts.select("k", F.posexplode("v").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).collect()  # two vectors
+    rows = stored(stats.join(bounded_or_shuffled(known), "doc_id").select("x", "quality"), "labelled")
+    parts = rows.mapInArrow(add, "k int, v array<double>")
+    sums = parts.select("k", F.posexplode("v").alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v")).collect()  # two vectors
     found = {k: np.zeros(1 + size + size * size) for k in (0, 1)}
-    for k, i, v in rows:
+    for k, i, v in sums:
         found[k][i] = v
-    return model_of(
+    model = model_of(
         {k: v[0] for k, v in found.items()}, {k: v[1 : 1 + size] for k, v in found.items()}, {k: v[1 + size :].reshape(size, size) for k, v in found.items()}
     )
+    if not model.classes:
+        return model
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.differences(x)).astype(np.int32)), batch.column(1)], ["at", "quality"])
+
+    counts = rows.mapInArrow(place, "at int, quality int").groupBy("at", "quality").count().collect()  # at most 4 * FARTHEST + 2 rows
+    n = np.zeros((2, 2 * FARTHEST + 1))
+    for at, k, c in counts:
+        if k in (0, 1):
+            n[k, at + FARTHEST] = c
+    model.slope, model.shift = curve(np.arange(-FARTHEST, FARTHEST + 1.0), n[0], n[1])
+    return model
 
 
 def scored(stats: DataFrame, model: Model) -> DataFrame:

@@ -1,18 +1,19 @@
 """Toxicity (operator 8) by multiple-instance learning.
 
-A text is a bag of sentences, a sentence a set of lower-case words. A sentence's chance of being toxic is
-logistic in its words, and a text's is the noisy-or of its sentences': 1 - prod(1 - p). Only texts have
-labels; the gradient of the noisy-or hands each label to the sentences that explain it, so the fitted
-sentence scores also say where the offence is.
+A text is a bag of sentences, a sentence a set of features: its lower-case words and their beginnings, so that
+other endings of a word are known too. A sentence's chance of being toxic is logistic in its features, whose
+weights are not negative, less the chance of a sentence without any. A text's is the noisy-or of its sentences' and a small
+leak: 1 - (1 - leak) prod(1 - p). So sentences without evidence add nothing, however many. Only texts have labels; the
+gradient of the noisy-or hands each label to the sentences that explain it, so the fitted sentence scores also say where the offence is.
 
 The model is fitted on the driver by proximal gradient steps on a bounded sample: at most `SAMPLE` labelled
-texts of each label, chosen by a hash of their ids over all labels and weighted back to the labels' true
+texts of each label, chosen by a hash of their ids over all labels, weighted back to the labels' true
 shares. Every text is scored whole.
 
-Null and blank texts have no sentences and score 0; very long texts are scored whole, and a sentence of
+Null and blank texts have no sentences and score the leak; very long texts are scored whole, and a sentence of
 over `RUN` words counts as several; repeated rows get a row each; labels that repeat for an id count
 once, as toxic if any says so, null labels not at all; an empty table gives no rows; without labels of both
-kinds every score is 0; extra columns are ignored (and `kept_documents` hands them on).
+kinds every score is the leak; extra columns are ignored (and `kept_documents` hands them on).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -33,35 +34,54 @@ from orthoquilt.llm.common import fold, small_batches, stored, table
 SAMPLE = 3000
 #: Words in a run; longer sentences are several runs.
 RUN = 40
-#: Texts of the sample in which a word must occur to get a weight, and the price of a weight.
+#: Texts of the sample in which a feature must occur to get a weight, and the price of a weight.
 LEAST_TEXTS, PRICE = 3, 0.3
-STEPS = 250
+#: A feature may get a weight if the toxic share of its texts is so many times that of all.
+LIFT = 2.0
+STEPS = 150
+#: Log odds of a sentence without evidence, and the leak of a text.
+QUIET, LEAK = -5.0, 0.001
+#: Lengths of the beginnings of words that are features.
+BEGINNINGS = (4, 5, 6)
+#: Words whose features a worker remembers.
+CACHED = 500_000
 #: Score from which a text is toxic.
 LIMIT = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 
 
+def features(word: str) -> list[str]:
+    return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
+
+
 @dataclass
 class Model:
-    bias: float
     weight: dict[str, float]
+    of_word: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+
+    def known(self, words: set[str]) -> set[str]:
+        """The features of the words that have a weight."""
+        cache, found = self.of_word, set()
+        for w in words:
+            own = cache.get(w)
+            if own is None:
+                own = tuple(f for f in features(w) if f in self.weight)
+                if len(cache) < CACHED:
+                    cache[w] = own
+            if own:
+                found.update(own)
+        return found
 
     def evidence(self, words: set[str]) -> float:
         """-log(1 - p) of a sentence."""
-        get = self.weight.get
-        z = self.bias + sum(w for w in map(get, words) if w)
-        return z if z > 30 else math.log1p(math.exp(z))
+        own = self.known(words)
+        return soft(QUIET + sum(map(self.weight.get, sorted(own)))) - soft(QUIET) if own else 0.0
 
     def score(self, text: str | None) -> float:
-        if not text:
-            return 0.0
-        quiet = self.evidence(set())
-        known = self.weight.keys()
-        total = 0.0
-        for run in runs(text.lower()):
-            words = set(run)
-            total += quiet if known.isdisjoint(words) else self.evidence(words)
+        total, low = LEAK, (text or "").lower()
+        if self.weight and self.known(set(WORD.findall(low))):
+            total += sum(self.evidence(set(run)) for run in runs(low))
         return -math.expm1(-total)
 
     def offences(self, text: str | None, limit: float = LIMIT) -> list[tuple[int, int, float]]:
@@ -74,6 +94,10 @@ class Model:
         return found
 
 
+def soft(z: float) -> float:
+    return z if z > 30 else math.log1p(math.exp(z))
+
+
 def in_runs(words: list[str]) -> list[list[str]]:
     return [words] if len(words) <= RUN else [words[k : k + RUN] for k in range(0, len(words), RUN)]
 
@@ -86,41 +110,39 @@ def runs(text: str) -> Iterator[list[str]]:
 
 
 def fit(bags: pa.Array, label: np.ndarray, importance: np.ndarray) -> Model:
-    """A model of texts given as lists of sentences of distinct words."""
+    """A model of texts given as lists of sentences of distinct features."""
     sentences = bags.flatten()
-    text_of = np.repeat(np.arange(len(bags)), bags.value_lengths().fill_null(0).to_numpy())
+    texts = len(bags)
+    text_of = np.repeat(np.arange(texts), bags.value_lengths().fill_null(0).to_numpy())
     sentence_of = np.repeat(np.arange(len(sentences)), sentences.value_lengths().to_numpy())
     coded = sentences.flatten().dictionary_encode()
-    word = coded.indices.to_numpy().astype(np.int64)
-    words = coded.dictionary.to_pylist()
-    in_text = np.unique(word * len(bags) + text_of[sentence_of]) // len(bags)
-    common = np.bincount(in_text, minlength=len(words)) >= LEAST_TEXTS
-    use = common[word]
-    word, sentence_of = word[use], sentence_of[use]
-    number = np.cumsum(common) - 1
-    word, words = number[word], [w for w, c in zip(words, common, strict=True) if c]
-    n = len(sentences)
-    share = importance / importance.sum()
+    feature = coded.indices.to_numpy().astype(np.int64)
+    names = coded.dictionary.to_pylist()
     toxic = label == 1
-    rate = float((share * toxic).sum())
-    bias = math.log(rate / max(1.0, n / len(bags)))
-    weight, seen, seen_bias = np.zeros(len(words)), np.full(len(words), 1e-8), 1e-8
+    within, of_text = np.divmod(np.unique(feature * texts + text_of[sentence_of]), texts)
+    all_texts = np.bincount(within, minlength=len(names))
+    every = np.bincount(within, importance[of_text], minlength=len(names))
+    bad = np.bincount(within, (importance * toxic)[of_text], minlength=len(names))
+    rate = (importance * toxic).sum() / importance.sum()
+    chosen = (all_texts >= LEAST_TEXTS) & (bad >= min(LIFT * rate, (1 + rate) / 2) * every)
+    use = chosen[feature]
+    feature, sentence_of = (np.cumsum(chosen) - 1)[feature[use]], sentence_of[use]
+    names = [w for w, c in zip(names, chosen, strict=True) if c]
+    # sentences without a feature add nothing
+    own, sentence_of = np.unique(sentence_of, return_inverse=True)
+    text_of, n = text_of[own], len(own)
     each = importance / importance.mean()
-    for step in range(STEPS):
-        z = bias + np.bincount(sentence_of, weight[word], minlength=n)
-        soft = np.logaddexp(0, z)
-        total = np.bincount(text_of, soft, minlength=len(bags))
-        push = np.where(toxic, -1 / np.expm1(np.maximum(total, 1e-9)), 1.0) * each
-        of_sentence = push[text_of] * np.exp(z - soft)
-        g = np.bincount(word, of_sentence[sentence_of], minlength=len(words))
-        gb = float(of_sentence.sum())
+    weight, seen = np.full(len(names), 0.5), np.full(len(names), 1e-8)
+    for _ in range(STEPS):
+        z = QUIET + np.bincount(sentence_of, weight[feature], minlength=n)
+        softened = np.logaddexp(0, z)
+        total = LEAK + np.bincount(text_of, softened - soft(QUIET), minlength=texts)
+        push = np.where(toxic, -1 / np.expm1(np.clip(total, 0.01, 50)), 1.0) * each
+        g = np.bincount(feature, (push[text_of] * np.exp(z - softened))[sentence_of], minlength=len(names))
         seen += g * g
-        seen_bias += gb * gb
         pace = 0.5 / np.sqrt(seen)
-        weight -= pace * g
-        weight = np.sign(weight) * np.maximum(np.abs(weight) - pace * PRICE, 0)
-        bias -= 0.5 / math.sqrt(seen_bias) * gb
-    return Model(bias, {w: float(x) for w, x in zip(words, weight, strict=True) if abs(x) > 1e-3})
+        weight = np.maximum(weight - pace * (g + PRICE), 0)
+    return Model({w: float(x) for w, x in zip(names, weight, strict=True) if x > 1e-3})
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -128,7 +150,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stored(known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))), "labels")
     sizes = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}  # a row for each label
-    nothing = Model(-math.inf, {})
+    nothing = Model({})
     if not sizes.get(0) or not sizes.get(1):
         return nothing
     part = {k: min(1.0, sample / n) for k, n in sizes.items()}
@@ -138,7 +160,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[sorted(set(r)) for r in runs((t.as_py() or "").lower())] for t in batch.column(1)]
+            found = [[sorted({f for w in set(r) for f in features(w)}) for r in runs((t.as_py() or "").lower())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.list_(pa.string()))), batch.column(2)], ["doc_id", "bag", "toxic"]
             )
