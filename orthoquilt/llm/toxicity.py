@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orthoquilt.llm.common import fold, small_batches, stored, table
 
 #: Labelled texts of each label that the model is fitted on, at most (about: they are drawn by hash).
-SAMPLE = 3000
+SAMPLE = 2000
 #: Words in a run; longer sentences are several runs.
 RUN = 40
 #: Texts of the sample in which a feature must occur to get a weight, and the price of a weight.
@@ -110,24 +110,32 @@ def runs(text: str) -> Iterator[list[str]]:
 
 
 def fit(bags: pa.Array, label: np.ndarray, importance: np.ndarray) -> Model:
-    """A model of texts given as lists of sentences of distinct features."""
+    """A model of texts given as lists of sentences of distinct words."""
     sentences = bags.flatten()
     texts = len(bags)
     text_of = np.repeat(np.arange(texts), bags.value_lengths().fill_null(0).to_numpy())
     sentence_of = np.repeat(np.arange(len(sentences)), sentences.value_lengths().to_numpy())
     coded = sentences.flatten().dictionary_encode()
-    feature = coded.indices.to_numpy().astype(np.int64)
-    names = coded.dictionary.to_pylist()
+    word, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     toxic = label == 1
-    within, of_text = np.divmod(np.unique(feature * texts + text_of[sentence_of]), texts)
-    all_texts = np.bincount(within, minlength=len(names))
-    every = np.bincount(within, importance[of_text], minlength=len(names))
-    bad = np.bincount(within, (importance * toxic)[of_text], minlength=len(names))
     rate = (importance * toxic).sum() / importance.sum()
-    chosen = (all_texts >= LEAST_TEXTS) & (bad >= min(LIFT * rate, (1 + rate) / 2) * every)
-    use = chosen[feature]
-    feature, sentence_of = (np.cumsum(chosen) - 1)[feature[use]], sentence_of[use]
-    names = [w for w, c in zip(names, chosen, strict=True) if c]
+    names: list[str] = []
+    pairs: list[np.ndarray] = []  # (feature, sentence) of the features chosen, as one number
+    for k in (0, *BEGINNINGS):  # words, then beginnings of each length
+        kind = pa.array([w if not k else f"{w[:k]}*" if len(w) >= k else None for w in words], pa.string()).dictionary_encode()
+        of_word = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = of_word[word]
+        has = own >= 0
+        within, of_text = np.divmod(np.unique(own[has] * texts + text_of[sentence_of[has]]), texts)
+        size = len(kind.dictionary)
+        every = np.bincount(within, importance[of_text], minlength=size)
+        bad = np.bincount(within, (importance * toxic)[of_text], minlength=size)
+        chosen = (np.bincount(within, minlength=size) >= LEAST_TEXTS) & (bad >= min(LIFT * rate, (1 + rate) / 2) * every)
+        use = has & chosen[own]
+        number = np.cumsum(chosen) - 1 + len(names)
+        pairs.append(np.unique(number[own[use]] * max(1, len(sentences)) + sentence_of[use]))
+        names += [n for n, c in zip(kind.dictionary.to_pylist(), chosen, strict=True) if c]
+    feature, sentence_of = np.divmod(np.concatenate(pairs), max(1, len(sentences)))
     # sentences without a feature add nothing
     own, sentence_of = np.unique(sentence_of, return_inverse=True)
     text_of, n = text_of[own], len(own)
@@ -160,7 +168,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[sorted({f for w in set(r) for f in features(w)}) for r in runs((t.as_py() or "").lower())] for t in batch.column(1)]
+            found = [[sorted(set(r)) for r in runs((t.as_py() or "").lower())] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.list_(pa.list_(pa.string()))), batch.column(2)], ["doc_id", "bag", "toxic"]
             )
