@@ -26,7 +26,7 @@ from orthoquilt.llm.common import small_batches, table, tokenizer_file
 #: Symbols of the longest piece that is merged side by side with others.
 WIDE = 64
 #: Entries of a worker's younger cache generation; it becomes the older one when full.
-CACHED = 250_000
+CACHED = 200_000
 NONE = np.int64(1) << 60
 
 #: Equals the library's pattern on texts without the characters of ODD.
@@ -254,6 +254,8 @@ def merge_all(vocab: Vocabulary, pieces: Iterable[str]) -> dict[str, bytes]:
 class Encoder:
     """Encodes texts by a vocabulary; what was merged before is remembered in two generations."""
 
+    cached = CACHED
+
     def __init__(self, vocab: Vocabulary, merge: Callable[[Vocabulary, Iterable[str]], dict[str, bytes]] = merge_all):
         self.vocab, self.merge = vocab, merge
         self.young: dict[str, bytes] = {}
@@ -288,9 +290,9 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
-        if len(self.young) > CACHED:
+        if len(self.young) > self.cached:
             self.old, self.young = self.young, {}
-        if len(self.pieces_young) > CACHED:
+        if len(self.pieces_young) > self.cached:
             self.pieces_old, self.pieces_young = self.pieces_young, {}
         cut, special = self.vocab.cut, self.vocab.special
         jobs: list[list[tuple[bool, list[str]] | int]] = []
@@ -330,7 +332,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(Vocabulary(path))
 
 
-def in_blocks(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str]]:
+def in_blocks(texts: list[str | None], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Nulls as empty, in runs of about `chars` characters."""
     block, size = [], 0
     for t in texts:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from orthoquilt.llm.bpe import CONTROL, byte_letters, in_blocks, odd_pattern
 from orthoquilt.llm.common import small_batches, table, tokenizer_file
 
-CACHED = 250_000
+CACHED = 200_000
 LIMIT = 2048
 #: The vocabulary's pattern on words without odd characters (each number by itself).
 QUICK = re.compile(r"'(?:[sdmt]|ll|ve|re)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
