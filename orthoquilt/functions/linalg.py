@@ -71,8 +71,10 @@ def entry(m: Column, i: int, j: int) -> Column:
 
 def product(a: Column, b: Column) -> Column:
     """The 4x4 product a b."""
-    cell = lambda i, j: sum((entry(a, i, k) * entry(b, k, j) for k in range(1, 4)), entry(a, i, 0) * entry(b, 0, j))
-    return F.array(*(cell(i, j) for i in range(4) for j in range(4)))
+    cell = lambda g, i, j: sum(
+        (entry(g["a"], i, k) * entry(g["b"], k, j) for k in range(1, 4)), entry(g["a"], i, 0) * entry(g["b"], 0, j)
+    )
+    return let(named(a=a, b=b), lambda g: F.array(*(cell(g, i, j) for i in range(4) for j in range(4))))
 
 
 def apply(m: Column, p: Column) -> Column:
@@ -103,15 +105,17 @@ def scale_of(m: Column) -> Column:
 
 def inverse(m: Column) -> Column:
     """The inverse of an affine 4x4 transform (last row 0 0 0 1); null if it is singular."""
-    e = lambda i, j: entry(m, i, j)
-    minor = lambda i, j: (
-        e((j + 1) % 3, (i + 1) % 3) * e((j + 2) % 3, (i + 2) % 3) - e((j + 1) % 3, (i + 2) % 3) * e((j + 2) % 3, (i + 1) % 3)
-    )
-    d = det3(m)
-    part = [[F.try_divide(minor(i, j), d) for j in range(3)] for i in range(3)]
-    shift = [-(part[i][0] * e(0, 3) + part[i][1] * e(1, 3) + part[i][2] * e(2, 3)) for i in range(3)]
-    cells = [c for i in range(3) for c in (*part[i], shift[i])]
-    return F.when(d != 0, F.array(*cells, *map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+    def cells(g: Column) -> Column:
+        e = lambda i, j: entry(g["m"], i, j)
+        minor = lambda i, j: (
+            e((j + 1) % 3, (i + 1) % 3) * e((j + 2) % 3, (i + 2) % 3) - e((j + 1) % 3, (i + 2) % 3) * e((j + 2) % 3, (i + 1) % 3)
+        )
+        part = [[minor(i, j) / g["d"] for j in range(3)] for i in range(3)]
+        shift = [-(part[i][0] * e(0, 3) + part[i][1] * e(1, 3) + part[i][2] * e(2, 3)) for i in range(3)]
+        rows = F.array(*(c for i in range(3) for c in (*part[i], shift[i])), *map(F.lit, (0.0, 0.0, 0.0, 1.0)))
+        return F.when(g["d"] != 0, rows)
+
+    return let(let(m, lambda k: named(m=k, d=det3(k))), cells)
 
 
 def from_parts(rotation: Column, translation: Column, scale: Column, tolerance: float = 1e-8) -> Column:

@@ -29,16 +29,24 @@ SEGMENTS = [  # a0, a1, b0, b1, clamp, pa, pb, dist
 ]
 
 
-@pytest.mark.parametrize("case", SEGMENTS)
-def test_closest_points(spark, case):
-    a0, a1, b0, b1, clamp, pa, pb, dist = case
-    for (s, e, swap) in ((a0, a1, False), (a1, a0, False), (a0, a1, True)):
-        args = [vec(*p) for p in ((s, e, b0, b1) if not swap else (b0, b1, s, e))]
-        r = one(spark, r=geometry.closest_points(*args, clamp=clamp))["r"]
-        assert r["dist"] == pytest.approx(dist, abs=1e-9)
-        if pa and not swap:
-            assert xyz(r["pa"]) == pytest.approx(pa, abs=1e-9) and xyz(r["pb"]) == pytest.approx(pb, abs=1e-9)
-    assert one(spark, r=geometry.closest_points(vec(0, 0, 0), vec(0, 0, 0), vec(1, 0, 0), vec(2, 0, 0)))["r"] is None
+def test_closest_points(spark):
+    rows = []
+    for n, (a0, a1, b0, b1, clamp, *_) in enumerate(SEGMENTS):
+        for turned, (s, e, t, u) in enumerate(((a0, a1, b0, b1), (a1, a0, b0, b1), (b0, b1, a0, a1))):
+            rows.append((n, turned, clamp, *map(float, (*s, *e, *t, *u))))
+    rows.append((-1, 0, True, *map(float, (0, 0, 0, 0, 0, 0, 1, 0, 0, 2, 0, 0))))
+    names = [f"{a}{k}" for a in ("a0", "a1", "b0", "b1") for k in "xyz"]
+    df = spark.createDataFrame(rows, "n int, turned int, clamp boolean, " + ", ".join(f"{n} double" for n in names))
+    args = [vec(*(F.col(n + k) for k in "xyz")) for n in ("a0", "a1", "b0", "b1")]
+    for clamp in (True, False):
+        for r in df.where(F.col("clamp") == clamp).select("n", "turned", geometry.closest_points(*args, clamp=clamp).alias("r")).collect():
+            if r["n"] < 0:
+                assert r["r"] is None
+                continue
+            *_, pa, pb, dist = SEGMENTS[r["n"]]
+            assert r["r"]["dist"] == pytest.approx(dist, abs=1e-9)
+            if pa and r["turned"] < 2:
+                assert xyz(r["r"]["pa"]) == pytest.approx(pa, abs=1e-9) and xyz(r["r"]["pb"]) == pytest.approx(pb, abs=1e-9)
 
 
 def test_random_segments_against_sampling(spark):
