@@ -86,7 +86,8 @@ def view_angles(direction: Column) -> Column:
 
 def project(m_inverse: Column, p: Column, f: Column, cx: Column, cy: Column, width: Column, height: Column) -> Column:
     """World point -> (x, y, depth) in pixels."""
-    return let(linalg.apply(m_inverse, p), lambda q: F.struct(
+    local = let(linalg.named(m=m_inverse, p=p), lambda g: linalg.apply(g["m"], g["p"]))
+    return let(local, lambda q: F.struct(
         F.try_divide(q["x"] * f, q["z"]).__add__(width / 2 + cx).alias("x"),
         F.try_divide(q["y"] * f, q["z"]).__add__(height / 2 + cy).alias("y"), q["z"].alias("depth")))
 

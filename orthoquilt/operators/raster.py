@@ -12,7 +12,7 @@ from orthoquilt.operators.spatial import bounds
 def windows(spark: SparkSession, height: int, width: int, size: int, stride: int) -> DataFrame:
     """col_off, row_off, width, height of all windows, column after column; those at the far edges are not clipped."""
     cols = spark.range(0, width, stride).select(F.col("id").alias("col_off"))
-    return cols.select("col_off", F.explode(F.sequence(F.lit(0), F.lit(max(0, height - 1)), F.lit(stride))).cast("long").alias("row_off")).select(
+    return cols.select("col_off", F.explode(F.sequence(*(F.lit(v).cast("long") for v in (0, max(0, height - 1), stride)))).alias("row_off")).select(
         "col_off", "row_off", F.lit(size).cast("long").alias("width"), F.lit(size).cast("long").alias("height")
     )
 
@@ -120,7 +120,7 @@ def polygon_mask(regions: DataFrame) -> DataFrame:
 
 def reprojected(cells: DataFrame, spark: SparkSession, height: int, width: int, to_source) -> DataFrame:
     """The target grid's cells, each with the source cell that `to_source(col + 0.5, row + 0.5)` -> struct(x, y) falls into (nearest)."""
-    grid = spark.range(height).select(F.col("id").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).cast("long"))
+    grid = spark.range(height).select(F.col("id").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
     at = to_source(F.col("col") + 0.5, F.col("row") + 0.5)
     aimed = grid.withColumn("at", at).select("row", "col", F.floor("at.y").cast("long").alias("s_row"), F.floor("at.x").cast("long").alias("s_col"))
     return aimed.join(cells.select(F.col("row").alias("s_row"), F.col("col").alias("s_col"), "value"), ["s_row", "s_col"]).select("row", "col", "value")
