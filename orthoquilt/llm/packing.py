@@ -40,7 +40,7 @@ BUCKET_ROWS = 20_000
 class RunEncoder(Encoder):
     """Takes unknown runs to a native encoder over the same ranks; that is quick enough to remember fewer of them."""
 
-    cached = 50_000
+    cached = 120_000
 
     def __init__(self, vocab: Vocabulary):
         import public_tokenizers
