@@ -395,7 +395,7 @@ def ray_clip_planes(spark, d):
 @query()
 def ray_edges(spark, d):
     """Rays of different cameras that pass within 2 centimetres (rays of one detection grid are dense)."""
-    return ray_ops.edges(scene.rays(spark, d), 0.02, 1e-4, cell=1.0).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
+    return ray_ops.edges(scene.rays(spark, d), 0.02, 1e-4, cell=5.0).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
 
 
 _NORMAL = """n as (select *, (ex - sx) / l dx, (ey - sy) / l dy, (ez - sz) / l dz from (select *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) l from rays)),
