@@ -5,7 +5,13 @@ sparse TF-IDF vectors: a term weighs its inverse document frequency among the no
 A line can reach the least cosine `LIKE` only if at least LIKE squared of its distinct terms are notices' terms (no term
 weighs more than an unknown one), so all others are left out at once, exactly.
 
-A file's own licence is that of its best line. A file of which matching lines hold at least half of the terms is a licence
+Full licence texts (`licence_texts`) and headers of several lines (`HEADERS`) are templates of their own, with their own weights. The
+whole file, and sliding runs of its lines and of its sentences, are compared with them in the same way. A file holds a run that reaches
+`LIKE` only if its terms hold `LIKE` squared of the weight of a template, so all other files are left out at once, exactly.
+Runs have the lengths of `RUNS`, the same from each line or sentence on.
+
+A file's own licence is that of the full text that it matches as a whole; else its SPDX tag (an expression is kept as it stands); else that of
+its best line or run. A file that matches a full text, or of which matching lines hold at least half of the terms, is a licence
 file: it stands for its directory, and files without a licence of their own inherit from the nearest directory
 above them that has one. Directories are joined with their ancestors by path, so documents move once, against a table of directories.
 
@@ -18,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +47,32 @@ NOTICES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0 Universal."),
 )
+#: Full texts, by the names of their files.
+FULL = tuple((p.stem, p.read_text()) for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")))
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by "
+    "the Free Software Foundation, {1}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+    "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} General Public License for more details. You should have "
+    "received a copy of the GNU {0} General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+#: Headers that licences prescribe for source files.
+HEADERS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+        "implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-2.0", _GNU.format("", "either version 2 of the License, or (at your option) any later version")),
+    ("GPL-3.0", _GNU.format("", "either version 3 of the License, or (at your option) any later version")),
+    ("LGPL-2.1", _GNU.format("Lesser", "either version 2.1 of the License, or (at your option) any later version")),
+    ("LGPL-3.0", _GNU.format("Lesser", "either version 3 of the License, or (at your option) any later version")),
+    ("AGPL-3.0", _GNU.format("Affero", "either version 3 of the License, or (at your option) any later version")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+)
+#: How many lines or sentences a run has.
+RUNS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+_SPDX = r"SPDX-License-Identifier:[ \t]*([(A-Za-z0-9][A-Za-z0-9.+() -]*[A-Za-z0-9.+)])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = "[a-z0-9]+"
 
@@ -56,6 +89,64 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
 
 
+def with_templates(df: DataFrame, text: str, lines: str, like: float = LIKE) -> DataFrame:
+    """df with __full and __run: (cosine, k, licence) of the best full text for the whole file, and of the best template for a run; null below `like`."""
+    columns = df.columns
+    known, unknown, rows = weights(FULL + NOTICES + HEADERS)
+    classes = [(w, [t for t in known if known[t] == w]) for w in sorted(set(known.values()))]
+    held = lambda terms: F.array_distinct(F.filter(terms, lambda t: t.isin(list(known))))
+
+    def weighed(hits: Column) -> Column:
+        def one(t: Column) -> Column:
+            s = F.lit(unknown)
+            for w, terms in classes:
+                s = F.when(t.isin(terms), w).otherwise(s)
+            return F.struct(t.alias("t"), s.alias("s"))
+
+        return F.transform(hits, one)
+
+    total = lambda hits: F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["s"])
+    dot = lambda hits, own: total(F.filter(hits, lambda x: x["t"].isin(own)))
+
+    def best(x: Column, first: int, last: int) -> Column:
+        """x: (h, n), the weighed known terms and the number of all distinct terms."""
+        length = total(x["h"]) + F.lit(unknown) * (x["n"] - F.size(x["h"]))
+        every = [
+            F.struct(F.round(dot(x["h"], own) / F.sqrt(length * F.lit(size)), 6).alias("cosine"), F.lit(-k).alias("k"), F.lit(name).alias("licence"))
+            for k, (name, own, size) in list(enumerate(rows))[first:last]
+        ]
+        return F.array_max(F.array(*every))
+
+    bound = like * like
+    heaviest = max(known.values())
+    reach = lambda hits: [
+        F.when(F.size(hits) * heaviest < bound * size, False).otherwise(dot(hits, own) >= bound * size) for _, own, size in rows
+    ]
+    some = lambda tests: F.exists(F.array(*tests), lambda x: x)
+    summary = lambda d: F.struct(weighed(held(d)).alias("h"), F.size(d).alias("n"))
+    out = let(df, "__h", held(F.flatten(lines)))
+    out = let(out, "__w", F.when(F.size("__h") * unknown >= bound * min(size for *_, size in rows), weighed(F.col("__h"))))
+    out = let(out, "__g", F.when(F.col("__w").isNull(), False).otherwise(some(reach(F.col("__w")))))
+    whole = F.struct(F.col("__w").alias("h"), F.size(F.array_distinct(F.flatten(lines))).alias("n"))
+    out = let(out, "__f", F.when(F.col("__g"), F.transform(F.array(whole), lambda x: best(x, 0, len(FULL)))[0]))
+
+    def runs(units: Column) -> Column:
+        near = lambda d: F.size(held(d)) >= bound * F.size(d)
+        of = lambda k: F.filter(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(units) - (k - 1))), lambda s: F.array_distinct(F.flatten(F.slice(units, s, F.lit(k))))),
+            lambda d: (F.size(d) > 0) & near(d),
+        )
+        found = F.transform(F.concat(*(of(k) for k in RUNS)), summary)
+        return F.array_max(F.transform(found, lambda x: best(x, 0, len(rows))))
+
+    sentences = F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?;:]) "), _terms)
+    full_of = lambda units: F.filter(units, lambda x: F.size(x) > 0)
+    out = let(out, "__u", F.when(F.col("__g"), F.array(full_of(F.col(lines)), full_of(sentences))))
+    out = let(out, "__r", F.when(F.col("__g"), F.array_max(F.transform("__u", runs))))
+    enough = lambda c: F.when(F.col(c)["cosine"] >= like, F.col(c))
+    return out.select(*columns, enough("__f").alias("__full"), enough("__r").alias("__run"))
+
+
 def with_own(df: DataFrame, text: str = "text", like: float = LIKE, notices=NOTICES) -> DataFrame:
     """df with own_licence, own_cosine (null: none) and licence_file."""
     columns = df.columns
@@ -81,11 +172,19 @@ def with_own(df: DataFrame, text: str = "text", like: float = LIKE, notices=NOTI
         return F.array_max(F.array(*every))
 
     out = let(out, "__b", F.filter(F.transform("__c", best), lambda x: x["cosine"] >= like))
-    top = F.array_max("__b")
+    out = with_templates(out, "__t", "__l", like)
+    line = F.array_max("__b")
+    tag = F.nullif(F.regexp_replace(F.trim(F.regexp_extract("__t", _SPDX, 1)), "-(only|or-later)\\b", ""), F.lit(""))
+    as_top = lambda c: F.struct(c["cosine"].alias("cosine"), c["licence"].alias("licence"))
+    run = F.col("__run")
+    top = (
+        F.when(F.col("__full").isNotNull(), as_top(F.col("__full"))).when(tag.isNotNull(), F.struct(F.lit(1.0).alias("cosine"), tag.alias("licence")))
+        .when(run.isNotNull() & (line.isNull() | (run["cosine"] > line["cosine"])), as_top(run)).when(line.isNotNull(), as_top(line))
+    )
     covered = F.aggregate("__b", F.lit(0), lambda a, x: a + x["n"])
     return out.select(
         *columns, top["licence"].alias("own_licence"), top["cosine"].alias("own_cosine"),
-        ((F.size("__b") > 0) & (covered >= F.lit(WHOLE) * F.col("__n"))).alias("licence_file"),
+        (F.col("__full").isNotNull() | ((F.size("__b") > 0) & (covered >= F.lit(WHOLE) * F.col("__n")))).alias("licence_file"),
     )
 
 

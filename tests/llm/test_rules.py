@@ -116,3 +116,26 @@ def test_licences(spark):
     assert by["z/near"][0] == "Apache-2.0"
     assert {(r["licence"], r["origin"]) for r in rows if r["path"] is None} == {("CC-BY-NC-4.0", "own"), (None, "none")}
     assert licenses.inherited(licenses.with_own(files.where("false"))).count() == 0
+
+
+def test_full_texts_headers_and_tags(spark):
+    """A whole licence text declares its directory; a header over several comment lines, one within a line and an SPDX tag are found."""
+    texts = dict(licenses.FULL)
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}" for i in range(300))
+    apache = dict(licenses.HEADERS)["Apache-2.0"].split(" ")
+    header = "\n".join("# " + " ".join(apache[i : i + 9]) for i in range(0, len(apache), 9))
+    rows = [(f"{name}/LICENSE", "Copyright (c) 2020 Some One\n\n" + text) for name, text in texts.items()]
+    rows += [(f"{name}/src/deep/a.py", "nothing of note") for name in texts]
+    rows += [
+        ("x/header.py", header + "\n" + code),
+        ("x/inline.py", "first words of another kind here. Released under the MIT License. other things follow after that sentence"),
+        ("x/tag.c", "/* SPDX-License-Identifier: GPL-2.0-only */\n" + code),
+        ("x/two.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + code),
+        ("x/none.py", code),
+    ]
+    found = {r["path"]: r for r in licenses.inherited(licenses.with_own(spark.createDataFrame(rows, "path string, text string"))).collect()}
+    for name in texts:
+        assert found[f"{name}/LICENSE"]["licence"] == name
+        assert tuple(found[f"{name}/src/deep/a.py"][k] for k in ("licence", "origin", "origin_dir")) == (name, "inherited", name)
+    own = {p: r["licence"] for p, r in found.items() if p.startswith("x/")}
+    assert own == {"x/header.py": "Apache-2.0", "x/inline.py": "MIT", "x/tag.c": "GPL-2.0", "x/two.c": "(MIT OR Apache-2.0)", "x/none.py": None}
