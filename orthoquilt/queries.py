@@ -437,9 +437,20 @@ def connected_rays(spark, d):
     return graph.components(_links(spark, d))
 
 
+def _all_links(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
+
+
+@query()
+def connected_rays_all(spark, d):
+    """Components of all links of suppliers and parts; `connected_rays` keeps to the sparse graph of its recursive SQL."""
+    return graph.components(_all_links(spark, d))
+
+
 @query()
 def communities(spark, d):
-    return graph.communities(_links(spark, d).withColumn("weight", F.lit(1.0)))
+    """Communities of all links of suppliers and parts."""
+    return graph.communities(_all_links(spark, d).withColumn("weight", F.lit(1.0)))
 
 
 @query(f"""{ctes('faces')}, b as (select min(x) x0, max(x) x1, min(y) y0, max(y) y1 from faces), t as (select z, (x - x0) / ((x1 - x0) / 6) u, (y - y0) / ((y1 - y0) / 6) v from faces, b),

@@ -134,6 +134,37 @@ def test_communities(spark):
     assert {r["component"] for r in graph.components(path).collect()} == {0}
 
 
+def test_communities_of_a_component_over_the_task_limit(spark):
+    """Cliques in a ring, over the limit for one task: joins alone find the same cliques."""
+    edge = [(10 * c + a, 10 * c + b, 1.0) for c in range(12) for a, b in itertools.combinations(range(8), 2)]
+    edge += [(10 * c, 10 * ((c + 1) % 12) + 1, 0.1) for c in range(12)]
+    df = spark.createDataFrame(edge, "src long, dst long, weight double")
+    for limit in (100, 1):
+        got = {r["node"]: r["community"] for r in graph.communities(df, task_edges=limit).collect()}
+        assert len(got) == 96
+        assert all(len({got[10 * c + a] for a in range(8)}) == 1 for c in range(12))
+        assert len(set(got.values())) > 3
+
+
+def test_graph_queries_take_all_links(spark, sf):
+    from orthoquilt.queries import QUERIES
+
+    pairs = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in ((r[0], r[1] + 1_000_000) for r in pairs):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for x in root}
+    assert {r["node"]: r["component"] for r in QUERIES["connected_rays_all"](spark, sf).collect()} == want
+    assert {r["node"] for r in QUERIES["communities"](spark, sf).collect()} == set(want)
+
+
 def test_greedy_cover(spark):
     sees = [(1, f) for f in range(6)] + [(2, f) for f in range(4, 9)] + [(3, f) for f in (0, 8, 9)] + [(4, 99)]
     df = spark.createDataFrame(sees, "image_id long, face_id long")
