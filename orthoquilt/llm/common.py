@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
@@ -38,33 +39,52 @@ def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder of spark.checkpoint.dir. In local mode, where all share one disk, a temporary one will do; a cluster must name one."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="orthoquilt-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
     return found
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """path, whose files go when the driver's JVM ends."""
+    where, files = _hadoop_path(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, files = _hadoop_path(spark, path)
+    files.delete(where, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends here,
     and a lost executor costs no recomputation. The files go when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(gone_at_exit(spark, path))
 
 
-def bounded_or_shuffled(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Store df, and mark it for broadcast only if it has at most `rows` (short) rows;
-    a larger one is left to a shuffled join."""
+def bounded_or_shuffled(df: DataFrame, rows: int = 50_000, megabytes: int = 16) -> DataFrame:
+    """Store df (scalars and lists of strings), and mark it for broadcast only if it has at most `rows` rows and its
+    strings at most `megabytes`; a larger one is left to a shuffled join."""
     kept = stored(df, "side")
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    held_by = {"string": F.octet_length, "binary": F.octet_length, "array<string>": lambda c: F.octet_length(F.array_join(c, "")) + 8 * F.size(c)}
+    strings = sum((F.coalesce(held_by[kind](F.col(c)), F.lit(0)) for c, kind in kept.dtypes if kind in held_by), F.lit(0))
+    n, held = kept.agg(F.count("*"), F.coalesce(F.sum(strings.cast("long")), F.lit(0))).first()  # one row
+    return F.broadcast(kept) if n <= rows and held <= megabytes << 20 else kept
 
 
 def in_fold(doc_id: int | None, of: int, held: int) -> bool:

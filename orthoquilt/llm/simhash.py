@@ -31,6 +31,8 @@ from orthoquilt.llm.components import components
 RADIUS = 2
 #: Fingerprints in a bucket that are compared pair by pair.
 BUCKET = 32
+#: Rows from which a fingerprint is looked up in a broadcast table.
+HOT = 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -55,16 +57,16 @@ def fingerprint(text: str | None, shingle: int = 3, block: int = 200_000) -> int
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of df's doc_id and text."""
+def fingerprints(df: DataFrame, shingle: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of df's doc_id and text, and `more` long columns as they are."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], ["doc_id", "fp", *more])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return df.select("doc_id", "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -110,25 +112,57 @@ def linked(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return small.union(stars)
 
 
-def near_duplicates(prints: DataFrame) -> DataFrame:
-    """doc_id, fp, and component_id: the smallest doc_id that links of at most 2 differing bits reach."""
-    prints = stored(prints, "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+def classes(prints: DataFrame) -> DataFrame:
+    """fp, root and component_id (the smallest doc_id of its component; null if none of its rows has an id) of the distinct
+    fingerprints of prints, and n, how many rows have the fingerprint."""
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(linked(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    of_group = rooted.join(least, "root").select("fp", "least")
-    label = stored(nodes.join(of_group, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "classes")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint without links is the root of itself
+    of_group = rooted.join(least, "root").select("fp", "root", "least")
+    label = nodes.join(of_group, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"), "n")
+    return stored(label, "classes")
+
+
+def labelled(prints: DataFrame, label: DataFrame) -> DataFrame:
+    """prints with the other columns of `classes`. A fingerprint of over `HOT` rows is looked up in a broadcast table (there are
+    at most rows / HOT of them, and its size is checked), so none of these gathers in a task; the others are joined by shuffling."""
+    names = [*prints.columns, "root", "component_id"]
+    hot = bounded_or_shuffled(label.where(F.col("n") > HOT).drop("n"))
+    cold = prints.join(hot.select("fp"), "fp", "left_anti").join(label.where(F.col("n") <= HOT).drop("n"), "fp")
+    return prints.join(hot, "fp").select(names).union(cold.select(names))
+
+
+def near_duplicates(prints: DataFrame) -> DataFrame:
+    """doc_id, fp, and component_id: the smallest doc_id that links of at most 2 differing bits reach."""
+    prints = stored(prints, "prints")
+    return labelled(prints, classes(prints)).select("doc_id", "fp", "component_id")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group, all columns as they were: the document of the
-    smallest id stays (rows that share this id are one document; rows without an id stay)."""
-    # only ids, hashes and fingerprints are shuffled; texts move only if very many ids go
-    groups = near_duplicates(fingerprints(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(bounded_or_shuffled(gone), "doc_id", "left_anti").select(docs.columns)
+    """docs with exactly one row of each group, all columns as they were. The row of the smallest id stays (rows without an
+    id come last; of several texts of one id that of the least hash). Rows are told apart by id and text, so a row goes only if its own
+    text is in a group; of rows that repeat both, one stays."""
+    own, used = docs.columns, set(docs.columns)
+    doc, mark = (next(f"{x}{k}" for k in range(len(used) + 1) if f"{x}{k}" not in used) for x in ("__doc", "__mark"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashed = docs.select("doc_id", "text", F.xxhash64(text).alias("h"))
+    prints = stored(fingerprints(hashed, more=("h",)), "prints")
+    rows = stored(labelled(prints, classes(prints)).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    # partial aggregates: a root with a third of all rows is no more work than another
+    best = bounded_or_shuffled(rows.groupBy("root").agg(F.min(key).alias("k"), F.count("*").alias("m")).where("m > 1").select("root", F.col("k.doc_id").alias("d0"), F.col("k.h").alias("h0")))
+    gone = rows.join(best, "root").where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("h") == F.col("h0"))))
+    gone = bounded_or_shuffled(gone.select(F.col("doc_id").alias(doc), F.col("h").alias(mark)))
+    # ids and hashes have been shuffled so far; texts move only if very many rows go
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(mark)), "left_anti")
+    again = bounded_or_shuffled(rows.where("n > 1").select(F.col("doc_id").alias(doc), F.col("h").alias(mark)))
+    if not again.take(1):
+        return kept.select(own)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(mark))
+    repeated = kept.join(again, same).dropDuplicates([doc, mark])
+    return kept.join(again, same, "left_anti").select(own).union(repeated.select(own))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
