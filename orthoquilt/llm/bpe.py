@@ -25,8 +25,8 @@ from orthoquilt.llm.common import small_batches, table, tokenizer_file
 
 #: Symbols of the longest piece that is merged side by side with others.
 WIDE = 64
-#: Entries of a worker's younger cache generation; it becomes the older one when full.
-CACHED = 200_000
+#: Entries of a worker's younger cache generation (it becomes the older one when full), and the characters of the longest entry.
+CACHED, LONG = 200_000, 64
 NONE = np.int64(1) << 60
 
 #: Equals the library's pattern on texts without the characters of ODD.
@@ -262,6 +262,7 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.pieces_young: dict[str, bytes] = {}
         self.pieces_old: dict[str, bytes] = {}
+        self.long: set[str] = set()
 
     def _learn(self, chunks: set[str]) -> None:
         """Make every chunk (a run between single blanks, with its blank) known."""
@@ -287,6 +288,7 @@ class Encoder:
             else:
                 new.append(p)
         self.pieces_young.update(self.merge(self.vocab, new))
+        self.long.update(p for p in new if len(p) > LONG)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
@@ -323,6 +325,10 @@ class Encoder:
         for job in jobs:
             ids = [np.uint32(x).tobytes() if isinstance(x, int) else b"".join(map(of[x[0]], x[1])) for x in job]
             out.append(ids[0] if len(ids) == 1 else b"".join(ids))
+        for x in [c for c in chunks if len(c) > LONG]:  # so the number of entries bounds their bytes
+            del self.young[x]
+        while self.long:
+            del self.pieces_young[self.long.pop()]
         return out
 
 

@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from orthoquilt.llm.bpe import CONTROL, byte_letters, in_blocks, odd_pattern
+from orthoquilt.llm.bpe import CONTROL, LONG, byte_letters, in_blocks, odd_pattern
 from orthoquilt.llm.common import small_batches, table, tokenizer_file
 
 CACHED = 200_000
@@ -100,7 +100,9 @@ class Counter:
         total, known = 0, self.pieces
         for piece in (QUICK if quick else exact_pattern()).findall(word):
             if (n := known.get(piece)) is None:
-                n = known[piece] = self.merged(piece)
+                n = self.merged(piece)
+                if len(piece) <= LONG:
+                    known[piece] = n
             total += n
         return total
 
@@ -130,7 +132,10 @@ class Counter:
             v = old.get(w)
             young[w] = self.word(w) if v is None else v
         get = young.__getitem__
-        return [extra + sum(map(get, own)) for extra, own in jobs]
+        found = [extra + sum(map(get, own)) for extra, own in jobs]
+        for w in [w for w in words if len(w) > LONG]:  # so the number of entries bounds their bytes
+            del young[w]
+        return found
 
     @staticmethod
     def runs(text: str) -> list[str]:
