@@ -9,7 +9,7 @@ to the histogram of the differences of all labelled rows (classes are not exactl
 Null and empty texts have the statistics of no words and are scored like any other; very long texts are
 taken whole; repeated rows get a row each; labels that repeat for an id count once (the highest), null labels not at all;
 an empty table gives no rows; if a label is missing altogether every score is the share of label 1 (0.5 without
-labels); extra columns are ignored.
+labels); extra columns are ignored. Equal texts have equal scores.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ FEATURES = (
     "words", "word_length", "distinct", "upper", "symbols", "marks", "bars", "stops", "digits", "repeated", "doubled", "equal_lines", "top_word",
 )
 _TINY = 0.002
-#: Differences are counted in whole numbers up to here, either way, and taken as this if larger.
+#: For the curve (not for scores) differences are counted in whole numbers up to here, either way; larger ones count here.
 FARTHEST = 500
 
 
@@ -89,7 +89,7 @@ class Model:
 
     def differences(self, x: np.ndarray) -> np.ndarray:
         bad, good = ((((x - m) @ inverse.T) ** 2).sum(1) * -0.5 - det / 2 + prior for m, inverse, det, prior in self.classes)
-        return np.clip(good - bad, -FARTHEST, FARTHEST)
+        return good - bad
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.classes:
@@ -167,7 +167,7 @@ def learned(stats: DataFrame, labels: DataFrame) -> Model:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(0).to_pylist(), float).reshape(-1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.differences(x)).astype(np.int32)), batch.column(1)], ["at", "quality"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(np.clip(model.differences(x), -FARTHEST, FARTHEST)).astype(np.int32)), batch.column(1)], ["at", "quality"])
 
     counts = rows.mapInArrow(place, "at int, quality int").groupBy("at", "quality").count().collect()  # at most 4 * FARTHEST + 2 rows
     n = np.zeros((2, 2 * FARTHEST + 1))
