@@ -7,13 +7,12 @@ leak: 1 - (1 - leak) prod(1 - p). So sentences without evidence add nothing, how
 gradient of the noisy-or hands each label to the sentences that explain it, so the fitted sentence scores also say where the offence is.
 
 The model is fitted on the driver by proximal gradient steps on a bounded sample: at most `SAMPLE` labelled
-texts of each label, chosen by a hash of their ids over all labels, weighted back to the labels' true
+texts of each label and `SAMPLE_BYTES` of their words, chosen by a hash of their ids over all labels, weighted back to the labels' true
 shares. Every text is scored whole.
 
-Null and blank texts have no sentences and score the leak; very long texts are scored whole, and a sentence of
-over `RUN` words counts as several; repeated rows get a row each; labels that repeat for an id count
-once, as toxic if any says so, null labels not at all; an empty table gives no rows; without labels of both
-kinds every score is the leak; extra columns are ignored (and `kept_documents` hands them on).
+Null and blank texts have no sentences and score the leak; very long texts and sentences are scored whole; repeated rows get a row each, equal
+texts equal scores; labels that repeat for an id count once, as toxic if any says so, null labels not at all; an empty table gives no rows;
+without labels of both kinds every score is the leak; extra columns are ignored (and `kept_documents` hands them on). A score at the limit is toxic.
 """
 
 from __future__ import annotations
@@ -31,9 +30,9 @@ from pyspark.sql import functions as F
 from orthoquilt.llm.common import fold, small_batches, stored, table
 
 #: Labelled texts of each label that the model is fitted on, at most (about: they are drawn by hash).
-SAMPLE = 2000
-#: Words in a run; longer sentences are several runs.
-RUN = 40
+SAMPLE = 3000
+#: Bytes of the sample's words of each label, at most (one text at least).
+SAMPLE_BYTES = 16 << 20
 #: Texts of the sample in which a feature must occur to get a weight, and the price of a weight.
 LEAST_TEXTS, PRICE = 3, 0.3
 #: A feature may get a weight if the toxic share of its texts is so many times that of all.
@@ -78,35 +77,34 @@ class Model:
         own = self.known(words)
         return soft(QUIET + sum(map(self.weight.get, sorted(own)))) - soft(QUIET) if own else 0.0
 
+    def judged(self, text: str | None, limit: float = LIMIT) -> tuple[float, list[tuple[int, int, float]]]:
+        """The score of a text, and (begin, end, chance) of the sentences that are toxic by themselves, in its code points."""
+        total, found, text = LEAK, [], text or ""
+        if self.weight and self.known(set(WORD.findall(text.lower()))):
+            for m in SENTENCE.finditer(text):
+                own = self.evidence(set(WORD.findall(m[0].lower())))
+                if own:
+                    total += own
+                    p = -math.expm1(-own)
+                    if p >= limit:
+                        found.append((m.start(), m.end(), p))
+        return -math.expm1(-total), found
+
     def score(self, text: str | None) -> float:
-        total, low = LEAK, (text or "").lower()
-        if self.weight and self.known(set(WORD.findall(low))):
-            total += sum(self.evidence(set(run)) for run in runs(low))
-        return -math.expm1(-total)
+        return self.judged(text)[0]
 
     def offences(self, text: str | None, limit: float = LIMIT) -> list[tuple[int, int, float]]:
-        """(begin, end, chance) of the sentences that are toxic by themselves, in code points of the text."""
-        found = []
-        for m in SENTENCE.finditer(text or ""):
-            p = -math.expm1(-sum(self.evidence(set(r)) for r in in_runs(WORD.findall(m[0].lower()))))
-            if p >= limit:
-                found.append((m.start(), m.end(), p))
-        return found
+        return self.judged(text, limit)[1]
 
 
 def soft(z: float) -> float:
     return z if z > 30 else math.log1p(math.exp(z))
 
 
-def in_runs(words: list[str]) -> list[list[str]]:
-    return [words] if len(words) <= RUN else [words[k : k + RUN] for k in range(0, len(words), RUN)]
-
-
-def runs(text: str) -> Iterator[list[str]]:
-    """The words of each sentence of a lower-case text; sentences without words are left out."""
-    for sentence in SENTENCE.findall(text):
-        if words := WORD.findall(sentence):
-            yield from in_runs(words)
+def sentences(text: str | None) -> list[list[str]]:
+    """The distinct words of each sentence that has any, lower-case."""
+    found = (sorted(set(WORD.findall(x.lower()))) for x in SENTENCE.findall(text or ""))
+    return [x for x in found if x]
 
 
 def fit(bags: pa.Array, label: np.ndarray, importance: np.ndarray) -> Model:
@@ -163,38 +161,59 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return nothing
     part = {k: min(1.0, sample / n) for k, n in sizes.items()}
     limit = F.when(F.col("toxic") == 1, F.lit(part[1])).otherwise(F.lit(part[0])) * (1 << 30)
-    chosen = F.broadcast(known.where(F.col("h") < limit).select("doc_id", "toxic"))  # at most about two samples of ids
+    chosen = F.broadcast(known.where(F.col("h") < limit).select("doc_id", "toxic", "h"))  # at most about two samples of ids
     small_batches(docs.sparkSession)
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[sorted(set(r)) for r in runs((t.as_py() or "").lower())] for t in batch.column(1)]
+            found = [sentences(t.as_py()) for t in batch.column(1)]
+            held = pa.array([sum(len(w) + 8 for x in own for w in x) for own in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.list_(pa.string()))), batch.column(2)], ["doc_id", "bag", "toxic"]
+                [batch.column(0), pa.array(found, pa.list_(pa.list_(pa.string()))), held, *batch.columns[2:]], ["doc_id", "bag", "held", "toxic", "h"]
             )
 
-    bags = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(bag, "doc_id long, bag array<array<string>>, toxic int")
-    got = bags.toArrow().sort_by("doc_id").combine_chunks()
+    bags = docs.select("doc_id", "text").join(chosen, "doc_id").mapInArrow(bag, "doc_id long, bag array<array<string>>, held long, toxic int, h long")
+    bags = stored(bags, "bags")
+    upto, seen = {0: 0, 1: 0}, {0: 0, 1: 0}
+    by_hash = bags.select("toxic", "h", "held").groupBy("toxic", "h").agg(F.sum("held").alias("held"), F.count("*").alias("n"))  # about two samples of rows
+    for k, h, size, _ in sorted(by_hash.collect(), key=lambda r: r["h"]):
+        if k in upto and (seen[k] + size <= SAMPLE_BYTES or not seen[k]):
+            upto[k] = h + 1
+        seen[k] += size  # once full, no later text gets in
+    mine = F.when(F.col("toxic") == 1, F.col("h") < upto[1]).otherwise(F.col("h") < upto[0])
+    got = bags.where(mine).select("doc_id", "bag", "toxic").toArrow().sort_by("doc_id").combine_chunks()
     label = got["toxic"].to_numpy()
     if len(set(label.tolist()) & {0, 1}) < 2:
         return nothing
     lists = got["bag"].chunk(0) if isinstance(got["bag"], pa.ChunkedArray) else got["bag"]
-    return fit(lists, label, np.where(label == 1, 1 / part[1], 1 / part[0]))
+    share = {k: min(part[k], upto[k] / (1 << 30)) for k in (0, 1)}  # hashes are even
+    return fit(lists, label, np.where(label == 1, 1 / share[1], 1 / share[0]))
+
+
+OFFENCES = "array<struct<begin: int, end: int, score: double>>"
 
 
-def with_scores(df: DataFrame, model: Model, score: str = "score", text: str = "text") -> DataFrame:
-    """df with the chance that its text is toxic."""
+def with_scores(df: DataFrame, model: Model, score: str = "score", text: str = "text", offences: str | None = None) -> DataFrame:
+    """df with the chance that its text is toxic and, if a name is given for them, the sentences that are toxic by themselves."""
     from pyspark.sql import types as T
 
     small_batches(df.sparkSession)
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != score), T.StructField(score, T.DoubleType())])
+    made = [T.StructField(score, T.DoubleType())]
+    if offences:
+        made.append(T.StructField(offences, T._parse_datatype_string(OFFENCES)))
+    names = [f.name for f in made]
+    schema = T.StructType([*(f for f in df.schema.fields if f.name not in names), *made])
     at = df.columns.index(text)
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [i for i, n in enumerate(batch.schema.names) if n != score]
-            found = pa.array([model.score(t.as_py()) for t in batch.column(at)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), found], [*(batch.schema.names[i] for i in keep), score])
+            keep = [i for i, n in enumerate(batch.schema.names) if n not in names]
+            found = [model.judged(t.as_py()) for t in batch.column(at)]
+            columns = [pa.array([x for x, _ in found], pa.float64())]
+            if offences:
+                columns.append(pa.array([[dict(zip(("begin", "end", "score"), x, strict=True)) for x in own] for _, own in found], kind))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *columns], [*(batch.schema.names[i] for i in keep), *names])
 
     return df.mapInArrow(run, schema)
 
@@ -222,9 +241,9 @@ def kept_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) ->
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores every whole text of `documents`; labels of the held-out quarter are not used."""
+    """Scores every whole text of `documents` and locates the offending sentences; labels of the held-out quarter are not used."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held)
-    found = with_scores(docs, learned(docs, labels)).drop("text")
-    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
+    found = with_scores(docs, learned(docs, labels), offences="offences").drop("text")
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"), "offences")
