@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from orthoquilt.llm.common import small_batches, stored, table
 
 SHORTEST, NORMAL, LONGEST = 8, 32, 128
+#: Bytes of a chunk in a fingerprint.
+CHUNK = 9
 GEAR = np.random.default_rng(20_240_229).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Top bits, which all 32 bytes of the window reach: six for the hard mask, four of them for the easy one.
 HARD, EASY = np.uint32(0xFC000000), np.uint32(0xF0000000)
@@ -66,7 +68,7 @@ def chunk_set(raw: bytes) -> dict[int, int]:
     """Digest -> length of the distinct chunks, in the order of the text."""
     import xxhash
 
-    digest = xxhash.xxh32_intdigest
+    digest = xxhash.xxh64_intdigest
     begin, found = 0, {}
     for end in cuts(raw):
         found.setdefault(digest(raw[begin:end]), end - begin)
@@ -75,7 +77,15 @@ def chunk_set(raw: bytes) -> dict[int, int]:
 
 
 def packed(chunks: dict[int, int]) -> bytes:
-    return struct.pack("<" + "IB" * len(chunks), *(x for d, n in chunks.items() for x in (d, n - 1)))
+    """The fingerprint as bytes: of each chunk 64 bits of digest and its length less one."""
+    return struct.pack("<" + "QB" * len(chunks), *(x for d, n in chunks.items() for x in (d, n - 1)))
+
+
+def in_common(a: bytes, b: bytes) -> int:
+    """How many bytes of whole chunks two fingerprints share at their beginnings."""
+    n = min(len(a), len(b)) // CHUNK * CHUNK
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else np.zeros(0, int)
+    return int(differ[0]) // CHUNK * CHUNK if len(differ) else n
 
 
 def containment(own: dict[int, int], other: dict[int, int]) -> float:
@@ -94,14 +104,16 @@ def edited(text: str, following: str) -> str:
 def judged(text: str, own: dict[int, int], following: str, next_chunks: dict[int, int]) -> tuple:
     new = edited(text, following).encode()
     new_chunks = chunk_set(new)
+    fp, new_fp = packed(own), packed(new_chunks)
+    shared = in_common(fp, new_fp)  # an edit leaves the chunks before it, so they are kept once
     return (
-        len(text), hashlib.sha256(new).hexdigest(), packed(own), packed(new_chunks),
+        len(text), hashlib.sha256(new).hexdigest(), fp, shared, new_fp[shared:],
         containment(own, new_chunks), containment(own, next_chunks),
     )
 
 
-_FOUND = "n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double"
-_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+_FOUND = "n_chars long, edited_sha256 string, fp binary, shared int, rest binary, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def fingerprinted(df: DataFrame) -> DataFrame:
@@ -129,7 +141,7 @@ def fingerprinted(df: DataFrame) -> DataFrame:
                 text = open_(z).decode()
                 chunks = chunk_set(text.encode())
                 if last is None:
-                    rows.append((1, part, doc, *[None] * 6, z))
+                    rows.append((1, part, doc, *[None] * 7, z))
                 else:
                     rows.append((0, part, last[0], *judged(last[1], last[2], text, chunks), None))
                 last = (doc, text, chunks, z)
@@ -137,7 +149,7 @@ def fingerprinted(df: DataFrame) -> DataFrame:
                     yield emit(rows)
                     rows = []
         if last is not None:
-            rows.append((2, part, last[0], *[None] * 6, last[3]))
+            rows.append((2, part, last[0], *[None] * 7, last[3]))
         if rows:
             yield emit(rows)
 
@@ -176,13 +188,15 @@ def fingerprinted(df: DataFrame) -> DataFrame:
     heads = found.where("kind = 1").select(F.col("part").alias("next"), F.col("z").alias("follow"))
     ends = found.where("kind = 2").select("part", "doc_id", "z").join(follows, "part").join(heads, "next")
     ends = ends.select("doc_id", "z", "follow").mapInArrow(stitch, f"doc_id long, {_FOUND}")
-    return found.where("kind = 0").select(ends.columns).union(ends)
+    every = found.where("kind = 0").select(ends.columns).union(ends)
+    whole = F.concat(F.expr("substring(fp, 1, shared)"), F.col("rest"))
+    return every.select("doc_id", "n_chars", "edited_sha256", "fp", whole.alias("edited_fp"), "near_edited", "near_next")
 
 
 def likeness(a: str, b: str) -> float:
     """The containment of the first fingerprint (as the queries give them) in the second."""
     def read(x: str) -> dict[int, int]:
-        return {d: n + 1 for d, n in struct.iter_unpack("<IB", base64.b64decode(x))}
+        return {d: n + 1 for d, n in struct.iter_unpack("<QB", base64.b64decode(x))}
 
     return containment(read(a), read(b))
 
