@@ -1,12 +1,13 @@
 """Packing documents into sequences (operator 3).
 
 Every document is cut at multiples of the capacity; what remains of each (shorter than one
-sequence) is packed whole by cutting-stock column generation on the histogram of
-lengths. That histogram has fewer rows than the capacity, so it fits the driver whatever
-the input. A simplex holds the linear program; a knapsack dynamic program prices new
-patterns until the Farley bound is near. Pattern counts are rounded down; full patterns are then used once more
-while documents last, and the few left over are put together by subset sums. Documents get ranks within their length, and each rank
-its place by arithmetic on the patterns: no document moves to the driver.
+sequence) is packed by cutting-stock column generation on the histogram of lengths. That histogram has fewer rows
+than the capacity, so it fits the driver whatever the input. A simplex holds the linear program; a knapsack dynamic program prices new
+patterns, several a time, until the Farley bound is near. Pattern counts are rounded down; patterns are then used once more
+while documents last, and the few left over are put together by subset sums. Only sequences that are full but for `SLACK` are made so. Documents of
+lengths that no such sequence takes (all of them between two fifths and two thirds of the capacity, say) follow each
+other in a stream that is cut at the capacity, so padding stays under `SLACK` for any histogram, but for the last sequence. Documents get ranks
+within their length, and each rank its place by arithmetic on the patterns: no document moves to the driver.
 
 Null texts count as empty (one end token); very long texts give many full sequences; equal
 lengths and repeated rows are told apart by their ranks; an empty table gives no pieces; extra
@@ -15,9 +16,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,65 +28,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orthoquilt.llm.bpe import Encoder, Vocabulary, in_blocks
+from orthoquilt.llm.bpe import Vocabulary, merge_all, split
 from orthoquilt.llm.common import small_batches, stored, table, tokenizer_file
 
 CAPACITY = 1024
 #: Stop pricing once the objective is within this share of Farley's bound.
 GAP = 0.005
-#: Pivots at most; any basis met on the way is a feasible plan, so this bounds time, not rows.
-PIVOTS = 400
+#: Share of a sequence that may be padding; documents that would leave more are cut.
+SLACK = 0.01
+#: Columns that are priced from one dynamic program.
+COLUMNS = 30
+#: Length from which a run of white space is split by our own pattern.
+BLANK = 2000
 #: Documents of one length in a ranking bucket, about.
 BUCKET_ROWS = 20_000
 
 
-class RunEncoder(Encoder):
-    """Takes unknown runs to a native encoder over the same ranks; that is quick enough to remember fewer of them."""
-
-    cached = 120_000
+class NativeEncoder:
+    """Encodes whole texts by a native encoder over the same ranks; nothing is remembered."""
 
     def __init__(self, vocab: Vocabulary):
         import public_tokenizers
         import tiktoken
 
-        super().__init__(vocab)
+        self.vocab = vocab
         ranks = {b: i for i, b in enumerate(vocab.bytes_of) if b and i not in vocab.special.values()}
-        self.native = tiktoken.Encoding("run", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.native = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def part(self, text: str) -> array:
+        # blank runs of many thousands are too deep for the native pattern; a run of BLANK has two of these places
+        if len(text) > BLANK and re.search(r"\s\s", text[:: BLANK // 2]) and re.search(rf"\s{{{BLANK}}}", text):
+            return array("I", b"".join(merge_once(self.vocab, split(text))))
+        return array("I", self.native.encode_ordinary(text))
 
-    def _learn(self, chunks: set[str]) -> None:
-        for c in chunks.difference(self.young):
-            v = self.old.get(c)
-            self.young[c] = array("I", self.native.encode_ordinary(c)).tobytes() if v is None else v
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian uint32."""
+        special = self.vocab.special
+        if not any(s in text for s in special):
+            return self.part(text).tobytes()
+        parts = self.vocab.cut.split(text)
+        return b"".join((array("I", [special[p]]) if p in special else self.part(p)).tobytes() for p in parts if p)
 
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        for p in wanted.difference(self.pieces_young):
-            self.pieces_young[p] = array("I", self.native.encode_ordinary(p)).tobytes()
+
+def merge_once(vocab: Vocabulary, pieces: list[str]) -> Iterator[bytes]:
+    found = merge_all(vocab, set(pieces))
+    return map(found.__getitem__, pieces)
 
 
 @lru_cache(2)
-def run_encoder(path: str) -> RunEncoder:
-    return RunEncoder(Vocabulary(path))
+def native_encoder(path: str) -> NativeEncoder:
+    return NativeEncoder(Vocabulary(path))
 
 
 def tokenised(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, doc_tokens, CRCs of each full piece, length and CRC of the rest, and a CRC of the whole."""
+    """doc_id, doc_tokens, CRCs of each full piece, length, CRC and ids of the rest, and a CRC of the whole."""
     small_batches(df.sparkSession)
     step = 4 * CAPACITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, end = run_encoder(path), np.uint32(end_id).tobytes()
+        code, end = native_encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
-            counts, full, rest, rest_crc, whole = [], [], [], [], []
-            for block in in_blocks(batch.column(1).to_pylist()):
-                for ids in code(block):
-                    raw = ids + end
-                    n = len(raw) // 4
-                    cut = n // CAPACITY * step
-                    counts.append(n)
-                    full.append([zlib.crc32(raw[k : k + step]) for k in range(0, cut, step)])
-                    rest.append(n % CAPACITY)
-                    rest_crc.append(zlib.crc32(raw[cut:]))
-                    whole.append(zlib.crc32(raw))
+            counts, full, rest, rest_crc, rest_ids, whole = [], [], [], [], [], []
+            for text in batch.column(1):
+                raw = code(text.as_py() or "") + end
+                n = len(raw) // 4
+                cut = n // CAPACITY * step
+                counts.append(n)
+                full.append([zlib.crc32(raw[k : k + step]) for k in range(0, cut, step)])
+                rest.append(n % CAPACITY)
+                rest_crc.append(zlib.crc32(raw[cut:]))
+                rest_ids.append(raw[cut:])
+                whole.append(zlib.crc32(raw))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -91,13 +106,14 @@ def tokenised(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                     pa.array(full, pa.list_(pa.int64())),
                     pa.array(rest, pa.int32()),
                     pa.array(rest_crc, pa.int64()),
+                    pa.array(rest_ids, pa.binary()),
                     pa.array(whole, pa.int64()),
                 ],
-                ["doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "whole_crc"],
+                ["doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "rest_ids", "whole_crc"],
             )
 
     return df.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, doc_tokens long, full_crc array<long>, rest int, rest_crc long, whole_crc long"
+        run, "doc_id long, doc_tokens long, full_crc array<long>, rest int, rest_crc long, rest_ids binary, whole_crc long"
     )
 
 
@@ -186,31 +202,22 @@ def cutting_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[t
         row /= patterns[j][i]
     used = np.array(times)
     dual = inverse.sum(0)
-    for pivot in range(PIVOTS):
-        best, last = best_fills(np.maximum(dual, 0), lengths, capacity)
-        # Farley: the duals divided by the best column's worth are feasible
-        if best[capacity] <= 1 + GAP:
-            break
-        fresh: dict[int, int] = {}
-        room = capacity
-        while room > 0:
-            if last[room] < 0:
-                if best[room] <= 0:
-                    break
-                room -= 1
-                continue
-            fresh[int(last[room])] = fresh.get(int(last[room]), 0) + 1
-            room -= int(lengths[last[room]])
+
+    def pivoted(fresh: dict[int, int]) -> bool:
+        """Take a column into the basis, if it is still worth more than one."""
+        nonlocal dual, inverse
+        if sum(k * dual[i] for i, k in fresh.items()) <= 1 + 1e-6:
+            return False
         move = np.zeros(m)
         for i, k in fresh.items():
             move += k * inverse[:, i]
-        ok = move > 1e-9
+        ok = move > 1e-7
         if not ok.any():
-            break
+            return False
         ratio = np.where(ok, used / np.where(ok, move, 1), np.inf)
-        out = int(ratio.argmin())
-        step = max(0.0, ratio[out])
-        used -= step * move
+        step = max(0.0, float(ratio.min()))
+        out = int(np.where(ratio <= step + 1e-9, move, -1).argmax())  # of ties the steadiest pivot
+        np.subtract(used, step * move, out=used)
         used[out] = step
         np.maximum(used, 0, out=used)
         row = inverse[out] / move[out]
@@ -218,19 +225,58 @@ def cutting_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[t
         inverse -= np.outer(move, row)
         inverse[out] = row
         patterns[out] = fresh
-        if pivot % 500 == 499:
+        return True
+
+    pivots, refreshed, least, since = 0, 0, used.sum(), 0
+    # Farley: the duals divided by the best column's worth are feasible. Degenerate pivots may stand still; after
+    # many rounds without gain any more the plan is as good as it gets (what it leaves unfilled is cut).
+    while since < 200:
+        best, last = best_fills(np.maximum(dual, 0), lengths, capacity)
+        if best[capacity] <= 1 + GAP:
+            break
+        worth = dual + np.where(lengths <= capacity, best[capacity - lengths], -1)
+        for i in np.argsort(-worth)[:COLUMNS]:  # the best column of all is that of the first of these
+            fresh: dict[int, int] = {int(i): 1}
+            room = capacity - int(lengths[i])
+            while room > 0 and best[room] > 0:
+                if last[room] < 0:
+                    room -= 1
+                    continue
+                fresh[int(last[room])] = fresh.get(int(last[room]), 0) + 1
+                room -= int(lengths[last[room]])
+            pivots += pivoted(fresh)
+        if pivots - refreshed >= 200:  # rounding errors do not add up
+            refreshed = pivots
+            basis = np.zeros((m, m))
+            for j, p in enumerate(patterns):
+                for i, k in p.items():
+                    basis[i, j] = k
+            inverse = np.linalg.inv(basis)
             dual = inverse.sum(0)
             used = np.maximum(inverse @ demand, 0)
+        since = 0 if used.sum() < least * (1 - 1e-6) else since + 1
+        least = min(least, used.sum())
     return [({int(lengths[i]): k for i, k in p.items()}, float(u)) for p, u in zip(patterns, used, strict=True)]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, np.ndarray], int]:
+@dataclass
+class Plan:
     """Where the documents of each length go: for each length rows (first rank, rank behind the last,
-    first sequence, copies in a sequence, offset of the first copy); and the number of sequences."""
+    first sequence, copies in a sequence, offset of the first copy); the ranks from which on a length is in the
+    stream, with the place of the first; the sequence with which the stream begins, and the number of sequences."""
+
+    rows: dict[int, np.ndarray]
+    stream: dict[int, tuple[int, int]]
+    whole: int
+    sequences: int
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, slack: float = SLACK) -> Plan:
     left = dict(counts)
     at = dict.fromkeys(counts, 0)
     rows: dict[int, list[tuple[int, int, int, int, int]]] = {n: [] for n in counts}
     sequences = 0
+    enough = lambda pattern: sum(n * k for n, k in pattern.items()) >= (1 - slack) * capacity
 
     def take(pattern: dict[int, int], times: int) -> None:
         nonlocal sequences
@@ -243,19 +289,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, np
             offset += n * k
         sequences += times
 
-    found = cutting_patterns(counts, capacity)
+    found = [(pattern, used) for pattern, used in cutting_patterns(counts, capacity) if enough(pattern)]
     for pattern, used in sorted(found, key=lambda x: -x[1]):
         times = min([int(used + 1e-6), *(left[n] // k for n, k in pattern.items())])
         if times > 0:
             take(pattern, times)
     # a pattern that was rounded down by most is used once more where its documents are still there
     for pattern, _ in sorted(found, key=lambda x: x[1] + 1e-6 - int(x[1] + 1e-6), reverse=True):
-        if sum(n * k for n, k in pattern.items()) == capacity and all(left[n] >= k for n, k in pattern.items()):
+        if all(left[n] >= k for n, k in pattern.items()):
             take(pattern, 1)
+    stream, place = {}, 0
     while any(left.values()):
         pattern = fullest(left, capacity)
-        take(pattern, min(left[n] // k for n, k in pattern.items()))
-    return {n: np.array(r, np.int64).reshape(-1, 5) for n, r in rows.items()}, sequences
+        if enough(pattern):
+            take(pattern, min(left[n] // k for n, k in pattern.items()))
+        else:  # no others of those left fill up the longest
+            n = max(pattern)
+            stream[n] = (at[n], place)
+            place += n * left[n]
+            left[n] = 0
+    whole = sequences
+    return Plan({n: np.array(r, np.int64).reshape(-1, 5) for n, r in rows.items()}, stream, whole, whole - -place // capacity)
 
 
 def packed(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -263,10 +317,12 @@ def packed(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     spark = df.sparkSession
     docs = stored(tokenised(df, path, end_id), "tokens")
     lengths = {r[0]: r[1] for r in docs.where("rest > 0").groupBy("rest").count().collect()}  # fewer rows than CAPACITY
-    placed, last = plan(lengths)
+    placed = plan(lengths)
     buckets = max(1, sum(lengths.values()) // BUCKET_ROWS)
     # Ranks: within (length, bucket) by a sort, plus what the buckets before hold. No key gathers in a task.
-    marked = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "whole_crc", "doc_tokens"), F.lit(buckets)).cast("int"))
+    # Ids go along only for lengths that may be cut.
+    cut = F.col("rest").isin(list(placed.stream)) if placed.stream else F.lit(False)
+    marked = docs.withColumn("rest_ids", F.when(cut, F.col("rest_ids"))).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "whole_crc", "doc_tokens"), F.lit(buckets)).cast("int"))
     held = marked.groupBy("rest", "bucket").agg(F.count("*").alias("n"), F.sum(F.size("full_crc")).alias("f"))
     ahead = Window.partitionBy("rest").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.select(
@@ -274,7 +330,7 @@ def packed(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     )
     # full pieces: numbered within their rest length, after the lengths before
     of_rest = {r[0]: r[1] for r in held.groupBy("rest").agg(F.sum("f")).collect()}
-    base, first_full = last, {}
+    base, first_full = placed.sequences, {}
     for n in sorted(of_rest):
         first_full[n] = base
         base += of_rest[n]
@@ -289,15 +345,26 @@ def packed(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[int | None]] = [[] for _ in range(7)]
-            for doc, tokens, full, rest, crc, rank, full_at in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for doc, tokens, full, rest, crc, ids, rank, full_at in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 for k, c in enumerate(full):
                     for col, v in zip(out, (doc, k * CAPACITY, CAPACITY, c, tokens, first_full[rest] + full_at + k, 0), strict=True):
                         col.append(v)
-                if rest:
-                    rows = placed[rest]
+                if not rest:
+                    continue
+                first, place = placed.stream.get(rest, (rank + 1, 0))
+                if rank >= first:  # in the stream, maybe across two sequences
+                    seq, offset = divmod(place + (rank - first) * rest, CAPACITY)
+                    cut = min(rest, CAPACITY - offset)
+                    seq += placed.whole
+                    pieces = [(doc, tokens - rest, cut, crc if cut == rest else zlib.crc32(ids[: 4 * cut]), tokens, seq, offset)]
+                    if cut < rest:
+                        pieces.append((doc, tokens - rest + cut, rest - cut, zlib.crc32(ids[4 * cut :]), tokens, seq + 1, 0))
+                else:
+                    rows = placed.rows[rest]
                     lo, _, seq, copies, offset = rows[np.searchsorted(rows[:, 0], rank, side="right") - 1].tolist()
-                    at = (doc, tokens - rest, rest, crc, tokens, seq + (rank - lo) // copies, offset + (rank - lo) % copies * rest)
-                    for col, v in zip(out, at, strict=True):
+                    pieces = [(doc, tokens - rest, rest, crc, tokens, seq + (rank - lo) // copies, offset + (rank - lo) % copies * rest)]
+                for piece in pieces:
+                    for col, v in zip(out, piece, strict=True):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(col, pa.int64()) for col in out],
@@ -306,7 +373,7 @@ def packed(df: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     columns = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return ranked.select(
-        "doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", (F.col("r") + F.col("rank0")).alias("rank"), (F.col("f") + F.col("full0")).alias("full_at")
+        "doc_id", "doc_tokens", "full_crc", "rest", "rest_crc", "rest_ids", (F.col("r") + F.col("rank0")).alias("rank"), (F.col("f") + F.col("full0")).alias("full_at")
     ).mapInArrow(place, columns)
 
 

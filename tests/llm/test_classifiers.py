@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import corpus_pipeline
@@ -45,6 +46,65 @@ def test_toxicity_finds_the_sentence(spark):
     assert toxicity.located(docs, model).select("doc_id").distinct().count() == 40
 
 
+def test_noisy_or_by_hand(spark):
+    """Scores from the weights by the formula; long sentences are one sentence, and where a text ends does not matter."""
+    model = toxicity.Model({"bad": 4.0, "rotte*": 3.0, "fool": 6.5})
+    quiet = 1 / (1 + math.exp(5))
+
+    def chance(z):  # of a sentence, less that of one without evidence
+        return 1 - (1 - 1 / (1 + math.exp(5 - z))) / (1 - quiet)
+
+    def by_hand(*sums):
+        good = math.exp(-0.001)
+        for z in sums:
+            good *= 1 - chance(z)
+        return 1 - good
+
+    filler = " ".join(f"word{k}" for k in range(100))
+    cases = {
+        "": by_hand(), "nothing here. at all": by_hand(), "a bad day": by_hand(4), "bad bad BAD": by_hand(4), "bad. Rottenness! you fool": by_hand(4, 3, 6.5),
+        "bad rotten fool": by_hand(13.5), f"bad {filler} fool": by_hand(10.5), f"bad {filler}. fool": by_hand(4, 6.5),
+    }
+    for text, want in cases.items():
+        assert abs(model.score(text) - want) < 1e-9, text
+    text = f"Fine. İ am a rotten {filler} fool! bad"
+    ((begin, end, p),) = model.offences(text)
+    assert text[begin:end].strip().startswith("İ am") and abs(p - chance(9.5)) < 1e-9
+    found = toxicity.with_scores(spark.createDataFrame([(text, 1, "x")], "text string, score int, offences string"), model, offences="offences").first()
+    assert found["offences"] == [(begin, end, p)] and abs(found["score"] - by_hand(9.5, 4)) < 1e-9
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    rows = [(i, f"rotten fool {i}" if i % 2 else f"fine day {i}") for i in range(200)] + [(200, "fine " + " ".join(f"w{k}" for k in range(5000)))]
+    model = toxicity.learned(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert model.score("rotten fool") > 0.5 > model.score("fine day")
+
+
+def plain_statistics(text):
+    """The statistics one by one, from their definitions."""
+    text = text or ""
+    words, n = text.split(), len(text.split())
+    size = max(1, len(text.encode()))
+    count = lambda chars: sum(c in chars for c in text)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    share = lambda a, b: math.log(0.002 + a / max(1, b))
+    windows = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    return [
+        math.log(1 + n), math.log(1 + size / max(1, n)), math.log(max(1, n) / max(1, len(set(words)))) / (1 + math.log(1 + n)),
+        share(count(upper), count(upper + lower)), share(count("#$%&*"), size), share(count("!?"), size), share(count("<>|"), size),
+        share(count(",."), n), share(count("0123456789"), size), math.log(0.002 + (1 - len(set(windows)) / len(windows) if windows else 0)),
+        share(sum(words[i] == words[i + 1] for i in range(n - 1)), n), math.log(0.002 + (1 - len(set(lines)) / len(lines) if lines else 0)),
+        share(max((words.count(w) for w in set(words)), default=0), n),
+    ]
+
+
+def test_statistics_by_definition(tricky, word_soup):
+    for text in [*tricky, word_soup(200), "a a a b\nx y\nx y\n", "WHAT?! $5 <b> a,b. c|d 12"]:
+        assert np.allclose(quality_classifier.statistics(text), plain_statistics(text)), text
+
+
 def test_toxicity_edge_cases(spark, documents, no_documents):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(20)], "doc_id long, toxic int")
     none = toxicity.learned(documents, labels.where("toxic = 1"))

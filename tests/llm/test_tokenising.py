@@ -34,10 +34,30 @@ def test_ids_equal_the_library(library, tricky):
         assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
-def test_native_runs_equal_the_library(library, tricky):
-    got = packing.run_encoder(tokenizer_file(BYTES))([t or "" for t in tricky])
-    for text, raw in zip(tricky, got, strict=True):
-        assert np.frombuffer(raw, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+def test_native_ids_equal_the_library(library, tricky):
+    code = packing.native_encoder(tokenizer_file(BYTES))
+    blanks = [" " * 30_000, "x" + "\n \t" * 10_000 + "y", ("a" + " " * 1999) * 20, " " * 5000 + "<|endoftext|>" + "\u3000" * 5000 + "z"]
+    for text in [*tricky, *blanks]:
+        assert np.frombuffer(code(text or ""), "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids, (text or "")[:50]
+
+
+def test_texts_beyond_a_block(library):
+    """Several texts of over a million characters: block borders, long runs without blanks, and nothing of these is remembered."""
+    r = np.random.default_rng(1)
+    words = " ".join("".join(map(chr, r.integers(97, 123, n))) for n in r.integers(1, 9, 200_000))
+    texts = [words, "y" * 1_200_000, "".join(map(chr, r.integers(0x4E00, 0x9FFF, 50_000))), "short"]
+    code = bpe.Encoder(bpe.Vocabulary(tokenizer_file(BYTES)))
+    got = [x for block in bpe.in_blocks(texts) for x in code(block)]
+    native = packing.native_encoder(tokenizer_file(BYTES))
+    for text, raw in zip(texts, got, strict=True):
+        assert raw == native(text)
+    assert max(map(len, [*code.young, *code.pieces_young])) <= bpe.LONG
+    assert np.frombuffer(got[0], "<u4").tolist() == library.encode(words, add_special_tokens=False).ids
+    count = token_counts.Counter(tokenizer_file(WORDS))
+    t = Tokenizer.from_file(tokenizer_file(WORDS))
+    assert [n for block in bpe.in_blocks(texts[:1] + texts[3:]) for n in count(block)] == [len(t.encode(x, add_special_tokens=False).ids) for x in texts[:1] + texts[3:]]
+    count(["z" * 50_000])
+    assert max(map(len, [*count.young, *count.pieces])) <= bpe.LONG
 
 
 def test_long_piece_equals_short_pieces():
@@ -143,8 +163,40 @@ def first_fit_decreasing(counts):
 def test_patterns_meet_every_length():
     rng = np.random.default_rng(3)
     for counts in ({}, {1: 1}, {1023: 5}, {int(n): int(k) for n, k in zip(rng.integers(1, 1024, 60), rng.integers(1, 90, 60), strict=True)}):
-        placed, sequences = packing.plan(counts)
-        assert sum(int((r[:, 1] - r[:, 0]).sum()) for r in placed.values()) == sum(counts.values())
+        p = packing.plan(counts)
+        inside = sum(int((r[:, 1] - r[:, 0]).sum()) for r in p.rows.values())
+        assert inside + sum(counts[n] - first for n, (first, _) in p.stream.items()) == sum(counts.values())
         total = sum(n * k for n, k in counts.items())
-        assert sequences >= -(-total // 1024)
-        assert sequences <= first_fit_decreasing(counts)
+        assert -(-total // 1024) <= p.sequences <= first_fit_decreasing(counts)
+
+
+@pytest.mark.parametrize("low, high", [(1, 1024), (400, 700), (520, 530), (342, 512)])
+def test_padding_is_little_for_any_histogram(low, high):
+    rng = np.random.default_rng(low)
+    lengths, copies = np.unique(rng.integers(low, high, 5000), return_counts=True)
+    counts = dict(zip(lengths.tolist(), copies.tolist(), strict=True))
+    total = sum(n * k for n, k in counts.items())
+    assert packing.plan(counts).sequences * 1024 <= total * 1.01 + 1024
+
+
+def test_the_linear_program_reaches_its_bound():
+    rng = np.random.default_rng(6)
+    counts = {int(n): int(k) for n, k in zip(*np.unique(np.clip(rng.lognormal(5.5, 0.8, 3000), 1, 1023).astype(int), return_counts=True), strict=True)}
+    found = packing.cutting_patterns(counts)
+    made = dict.fromkeys(counts, 0.0)
+    for pattern, used in found:
+        assert sum(n * k for n, k in pattern.items()) <= 1024
+        for n, k in pattern.items():
+            made[n] += k * used
+    assert all(abs(made[n] - c) < 1e-5 * c + 1e-6 for n, c in counts.items())
+    assert sum(u for _, u in found) <= sum(n * k for n, k in counts.items()) / 1024 * 1.006
+
+
+def test_cut_documents(spark, library):
+    """Texts of which no two fit into a sequence: they are cut, and the pieces' checksums are right."""
+    texts = [" ".join(f"word{(i * 7 + k) % 90}" for k in range(210 + 3 * i)) for i in range(40)]
+    raw = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = packing.packed(docs, tokenizer_file(BYTES)).collect()
+    sequences = check_packing(pieces, {(i, len(b) // 4): b for i, b in raw.items()})
+    assert sequences <= sum(map(len, raw.values())) / 4096 * 1.01 + 1 and len(pieces) > 40
