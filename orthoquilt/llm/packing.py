@@ -32,7 +32,7 @@ from orthoquilt.llm.bpe import Vocabulary, merge_all, split
 from orthoquilt.llm.common import small_batches, stored, table, tokenizer_file
 
 CAPACITY = 1024
-#: Stop pricing once the objective is within this share of Farley's bound.
+#: Stop pricing once the objective is within this share of Farley's bound, or of what the tokens fill.
 GAP = 0.005
 #: Share of a sequence that may be padding; documents that would leave more are cut.
 SLACK = 0.01
@@ -230,7 +230,8 @@ def cutting_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[t
     pivots, refreshed, least, since = 0, 0, used.sum(), 0
     # Farley: the duals divided by the best column's worth are feasible. Degenerate pivots may stand still; after
     # many rounds without gain any more the plan is as good as it gets (what it leaves unfilled is cut).
-    while since < 200:
+    area = float(lengths @ demand) / capacity
+    while since < 200 and used.sum() > (1 + GAP) * area:  # no plan needs fewer sequences than the tokens fill
         best, last = best_fills(np.maximum(dual, 0), lengths, capacity)
         if best[capacity] <= 1 + GAP:
             break
