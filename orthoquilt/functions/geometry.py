@@ -64,6 +64,30 @@ def inside(x: Column, y: Column, rings: Column) -> Column:
     return odd & ~F.exists(edges, lambda e: _on_edge(x, y, e))
 
 
+def covers_triangle(rings: Column, a: Column, b: Column, c: Column) -> Column:
+    """Whether a polygon that holds the triangle's centre holds all of it: each corner inside or on the border, no edge of
+    the polygon crossing a side, and none of its vertices or edges' middles strictly within."""
+    turn = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+    def test(g: Column) -> Column:
+        edges, corner = g["edges"], [g[k] for k in "abc"]
+        held = [inside(p["x"], p["y"], g["rings"]) | F.exists(edges, lambda e: _on_edge(p["x"], p["y"], e)) for p in corner]  # noqa: B023
+        sides = list(zip(corner, corner[1:] + corner[:1]))
+        crosses = lambda e, p, q: (
+            (F.signum(turn(e["a"], e["b"], p)) * F.signum(turn(e["a"], e["b"], q)) < 0) & (F.signum(turn(p, q, e["a"])) * F.signum(turn(p, q, e["b"])) < 0)
+        )
+
+        def within_it(p: Column) -> Column:
+            s = [F.signum(turn(u, v, p)) for u, v in sides]
+            return (s[0] != 0) & (s[0] == s[1]) & (s[1] == s[2])
+
+        middle = lambda e: F.struct(((e["a"]["x"] + e["b"]["x"]) / 2).alias("x"), ((e["a"]["y"] + e["b"]["y"]) / 2).alias("y"))
+        bad = lambda e: crosses(e, *sides[0]) | crosses(e, *sides[1]) | crosses(e, *sides[2]) | within_it(e["a"]) | within_it(middle(e))
+        return held[0] & held[1] & held[2] & ~F.exists(edges, bad)
+
+    return let(named(rings=rings, edges=F.flatten(F.transform(rings, _edges)), a=a, b=b, c=c), test)
+
+
 def edge_distance(x: Column, y: Column, rings: Column) -> Column:
     """Distance from a point to the nearest edge."""
 

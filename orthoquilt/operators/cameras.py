@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orthoquilt.functions import geometry, linalg
 from orthoquilt.functions.linalg import let, vec
+from orthoquilt.relations import checkpointed
 
 
 def every_nth(cameras: DataFrame, n: int, first: int = 0) -> DataFrame:
@@ -147,8 +148,8 @@ def camera_hash(cameras: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """df with dense positions by the order: ranks within hash-free ranges plus the counts of the ranges before, so no task sorts all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).persist()
+    """df with dense positions by the order: ranks within ranges plus the counts of the ranges before, so no task sorts all rows."""
+    ranged = checkpointed(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     counts = ranged.groupBy("__p").agg(F.count("*").alias("__n")).orderBy("__p").collect()  # a row for each partition
     starts, at = [], 0
     for r in counts:

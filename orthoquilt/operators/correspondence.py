@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from orthoquilt.functions import linalg
 from orthoquilt.functions.distortion import ideal
 from orthoquilt.functions.linalg import vec
-from orthoquilt.operators.cameras import location, project
+from orthoquilt.operators.cameras import location
+
+
+#: Depth from which on a camera sees.
+NEAR = 1e-6
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -34,13 +38,48 @@ def footprints(cameras: DataFrame, reach: float, cell: float) -> DataFrame:
     return out.drop("__p")
 
 
-def visible_faces(cameras: DataFrame, faces: DataFrame, scale: float, reach: float, cell: float, principal_point: bool = False) -> DataFrame:
+def farthest(cameras: DataFrame, faces: DataFrame) -> float:
+    """A distance within which every camera has all faces (from two rows of bounds)."""
+    at = location(F.col("cam_to_world"))
+    of_faces = faces.agg(*(f(g(*(F.col(f"{p}.{k}") for p in "abc"))) for k in "xyz" for f, g in ((F.min, F.least), (F.max, F.greatest)))).first()
+    of_cameras = cameras.agg(*(f(at[k]) for k in "xyz" for f in (F.min, F.max))).first()
+    if of_faces[0] is None or of_cameras[0] is None:
+        return 1.0
+    span = [max(of_faces[2 * k + 1], of_cameras[2 * k + 1]) - min(of_faces[2 * k], of_cameras[2 * k]) for k in range(3)]
+    return max(sum(v * v for v in span) ** 0.5, NEAR)
+
+
+def in_front(p: Column, q: Column, r: Column, near: float = NEAR) -> Column:
+    """The triangles (p, q, r in a camera's axes) that are left of a triangle in front of the plane z = near: none, one or two."""
+
+    def parts(g: Column) -> Column:
+        corner = [g[k] for k in "pqr"]
+        front = [c["z"] > near for c in corner]
+
+        def cut(a: Column, b: Column) -> Column:
+            t = F.try_divide(F.lit(near) - a["z"], b["z"] - a["z"])
+            return linalg.add(a, linalg.scaled(linalg.sub(b, a), t))
+
+        tri = lambda a, b, c: linalg.named(p=a, q=b, r=c)
+        out = F.when(front[0] & front[1] & front[2], F.array(tri(*corner)))
+        for k in range(3):
+            a, b, c = corner[k], corner[(k + 1) % 3], corner[(k + 2) % 3]
+            fa, fb, fc = front[k], front[(k + 1) % 3], front[(k + 2) % 3]
+            out = out.when(fa & ~fb & ~fc, F.array(tri(a, cut(a, b), cut(a, c))))
+            out = out.when(~fa & fb & fc, F.array(tri(b, c, cut(c, a)), tri(b, cut(c, a), cut(b, a))))
+        return out
+
+    return linalg.let(linalg.named(p=p, q=q, r=r), parts)
+
+
+def visible_faces(cameras: DataFrame, faces: DataFrame, scale: float, reach: float | None, cell: float, principal_point: bool = False) -> DataFrame:
     """obs of faces (face_id, a, b, c points in the cameras' world) at an image scale. The pixel centre counts; the nearest face wins,
-    the lowest id on a tie. Faces that reach behind a camera are not drawn in it."""
+    the lowest id on a tie. Faces that reach behind a camera are cut at its plane. `reach` is how deep cameras see; None sets no limit."""
     f, w, h = F.col("f") * scale, F.floor(F.col("image_width") * scale), F.floor(F.col("image_height") * scale)
     shift = (lambda c: F.col(c) * scale) if principal_point else (lambda c: F.lit(0.0))
     narrow = cameras.select("camera_id", "cam_to_world", "f", "image_width", "image_height", shift("cx").alias("px"), shift("cy").alias("py"))
-    cams = footprints(narrow, reach, cell)
+    deep = farthest(cameras, faces) if reach is None else reach
+    cams = footprints(narrow, deep, cell)
     cams = cams.select("camera_id", "cx", "cy", "__lox", "__loy", linalg.inverse(F.col("cam_to_world")).alias("inv"), f.alias("f"), w.alias("w"), h.alias("h"), "px", "py")
     tri = faces.select("face_id", "a", "b", "c")
     for k in "xy":
@@ -48,9 +87,16 @@ def visible_faces(cameras: DataFrame, faces: DataFrame, scale: float, reach: flo
         tri = tri.withColumn(f"__f{k}", F.floor(low / cell).cast("long")).withColumn(f"c{k}", F.explode(_cells(low, high, cell)))
     first = (F.col("cx") == F.greatest("__lox", "__fx")) & (F.col("cy") == F.greatest("__loy", "__fy"))
     pairs = cams.join(tri, ["cx", "cy"]).where(first)
-    at = lambda p: project(F.col("inv"), F.col(p), F.col("f"), F.col("px"), F.col("py"), F.col("w").cast("double"), F.col("h").cast("double"))
-    seen = pairs.select("camera_id", "face_id", "w", "h", at("a").alias("p"), at("b").alias("q"), at("c").alias("r"))
-    seen = seen.where("p.depth > 1e-9 and q.depth > 1e-9 and r.depth > 1e-9")
+    local = lambda p: linalg.let(linalg.named(m=F.col("inv"), p=F.col(p)), lambda g: linalg.apply(g["m"], g["p"]))
+    front = pairs.select("camera_id", "face_id", "f", "px", "py", "w", "h", local("a").alias("a"), local("b").alias("b"), local("c").alias("c"))
+    if reach is not None:
+        front = front.where(F.least("a.z", "b.z", "c.z") <= reach)
+    front = front.withColumn("t", F.explode(in_front(F.col("a"), F.col("b"), F.col("c"))))
+    at = lambda p: F.struct(
+        (F.col(f"t.{p}.x") * F.col("f") / F.col(f"t.{p}.z") + F.col("w") / 2 + F.col("px")).alias("x"),
+        (F.col(f"t.{p}.y") * F.col("f") / F.col(f"t.{p}.z") + F.col("h") / 2 + F.col("py")).alias("y"), F.col(f"t.{p}.z").alias("depth"),
+    )
+    seen = front.select("camera_id", "face_id", "w", "h", at("p").alias("p"), at("q").alias("q"), at("r").alias("r"))
     low = lambda k: F.greatest(F.lit(0), F.ceil(F.least(*(F.col(f"{v}.{k}") for v in "pqr")) - 0.5))
     high = lambda k, n: F.least(F.col(n) - 1, F.floor(F.greatest(*(F.col(f"{v}.{k}") for v in "pqr")) - 0.5))
     span = seen.select("*", low("y").alias("i0"), high("y", "h").alias("i1"), low("x").alias("j0"), high("x", "w").alias("j1")).where("i0 <= i1 and j0 <= j1")

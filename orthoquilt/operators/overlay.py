@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orthoquilt.functions import geometry
+from orthoquilt.functions import geometry, polygons
 from orthoquilt.operators.graph import components
-from orthoquilt.operators.spatial import in_cells
+from orthoquilt.operators.spatial import bounds, in_cells
+from orthoquilt.relations import RINGS
+
+ARROW_RINGS = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
 
 
 def clip(subject: np.ndarray, convex: np.ndarray) -> np.ndarray:
@@ -42,42 +45,160 @@ def ring_area(ring: np.ndarray) -> float:
     return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
 
 
-def shared_area(pairs: DataFrame, subject: str, convex: str) -> DataFrame:
-    """pairs with shared_area: of the subject polygon (holes are taken off) and a convex one."""
+def points_of(rings) -> polygons.Polygon:
+    """A polygon of Arrow's Python values."""
+    return [np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in rings or []]
+
+
+def rings_of(polygon: polygons.Polygon) -> list[list[dict[str, float]]]:
+    return [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in polygon]
+
+
+def common_area(a: polygons.Polygon, b: polygons.Polygon) -> float:
+    """Of any two polygons: by cutting edge after edge if the second is convex and without holes, else by slabs."""
+    if not a or not b:
+        return 0.0
+    if len(b) == 1 and len(b[0]) > 2 and polygons.is_convex(b[0]):
+        parts = [ring_area(clip(r, b[0])) for r in a]
+        return parts[0] - sum(parts[1:])
+    return polygons.trapezoid_area(polygons.trapezoids([a, b], polygons.both))
+
+
+def shared_area(pairs: DataFrame, subject: str, other: str) -> DataFrame:
+    """pairs with shared_area: of two polygons, with or without holes, convex or not."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("shared_area", T.DoubleType())])
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        points = lambda ring: np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
         for batch in batches:
-            found = []
-            for a, b in zip(batch.column(names.index(subject)).to_pylist(), batch.column(names.index(convex)).to_pylist(), strict=True):
-                parts = [ring_area(clip(points(r), points(b[0]))) for r in a or []] if b else []
-                found.append(parts[0] - sum(parts[1:]) if parts else 0.0)
+            both = zip(batch.column(names.index(subject)).to_pylist(), batch.column(names.index(other)).to_pylist(), strict=True)
+            found = [common_area(points_of(a), points_of(b)) for a, b in both]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, "shared_area"])
 
     return pairs.mapInArrow(run, schema)
 
 
+HOW = {"intersection": polygons.both, "union": polygons.either, "difference": polygons.first_only}
+
+
+def combined_pairs(pairs: DataFrame, a: str, b: str, how: str = "intersection") -> DataFrame:
+    """pairs with part and geom: the polygons that make up the intersection, union or difference of two polygons (no row where there is none)."""
+    keep, names = HOW[how], [c for c in pairs.columns if c not in (a, b)]
+    from pyspark.sql import types as T
+
+    geom = T._parse_datatype_string(RINGS)
+    schema = T.StructType([*(f for f in pairs.schema.fields if f.name in names), T.StructField("part", T.IntegerType()), T.StructField("geom", geom)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, parts, geoms = [], [], []
+            for k, (p, q) in enumerate(zip(batch.column(batch.schema.names.index(a)).to_pylist(), batch.column(batch.schema.names.index(b)).to_pylist(), strict=True)):
+                for n, polygon in enumerate(polygons.combined([points_of(p), points_of(q)], keep)):
+                    rows.append(k)
+                    parts.append(n)
+                    geoms.append(rings_of(polygon))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(kept.column(batch.schema.names.index(n)) for n in names), pa.array(parts, pa.int32()), pa.array(geoms, ARROW_RINGS)], [*names, "part", "geom"]
+            )
+
+    return pairs.mapInArrow(run, schema)
+
+
 def overlapping(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """Pairs of polygons (a_id, a_geom) and (b_id, b_geom) whose boxes share a cell, once each."""
-    left = in_cells(a.select("a_id", F.col("a_geom").alias("geom")), size).withColumnRenamed("geom", "a_geom")
-    right = in_cells(b.select("b_id", F.col("b_geom").alias("geom")), size).withColumnRenamed("geom", "b_geom")
-    return left.join(right, ["cell_x", "cell_y"]).drop("cell_x", "cell_y").dropDuplicates(["a_id", "b_id"])
+    """Pairs of polygons (a_id, a_geom) and (b_id, b_geom) whose boxes share a cell, each at the first cell that both have."""
+
+    def dealt(df: DataFrame, k: str) -> DataFrame:
+        out = in_cells(df.select(f"{k}_id", F.col(f"{k}_geom").alias("geom")), size)
+        low = lambda axis: F.floor(bounds(F.col("geom"), axis)[0] / size).cast("long")
+        return out.select("cell_x", "cell_y", f"{k}_id", F.col("geom").alias(f"{k}_geom"), low("x").alias(f"{k}_x"), low("y").alias(f"{k}_y"))
+
+    met = dealt(a, "a").join(dealt(b, "b"), ["cell_x", "cell_y"])
+    return met.where("cell_x = greatest(a_x, b_x) and cell_y = greatest(a_y, b_y)").select("a_id", "a_geom", "b_id", "b_geom")
+
+
+def in_tiles(shapes: DataFrame, size: float, make: Callable[[list[tuple], list[polygons.Polygon]], list[tuple]], columns: str) -> DataFrame:
+    """Rows (of `columns`, without the geometry) and geom that `make` gives for each square tile, from the shapes' other columns
+    (rows sorted) and their parts inside the tile. A task holds what meets one tile, so `size` bounds it; shapes over several tiles come in parts."""
+    others = [c for c in shapes.columns if c != "geom"]
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        x, y = key[0].as_py() * size, key[1].as_py() * size
+        tile = [np.array([(x, y), (x + size, y), (x + size, y + size), (x, y + size)])]
+        rows = []
+        for row in sorted(table.to_pylist(), key=lambda r: tuple((r[c] is None, r[c]) for c in others)):
+            for part in polygons.combined([points_of(row["geom"]), tile], polygons.both):
+                rows.append((tuple(row[c] for c in others), part))
+        found = make([r for r, _ in rows], [p for _, p in rows]) if rows else []
+        out = {n: pa.array([f[k] for f in found], types[n]) for k, n in enumerate(names)}
+        return pa.table(out | {"geom": pa.array([rings_of(f[-1]) for f in found], ARROW_RINGS)})
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = {f.name: to_arrow_type(f.dataType) for f in T._parse_datatype_string(columns).fields}
+    return in_cells(shapes, size).groupBy("cell_x", "cell_y").applyInArrow(one, f"{columns}, geom {RINGS}")
+
+
+def merged(parts: list[polygons.Polygon], batch: int = 16) -> list[polygons.Polygon]:
+    """The union, by batches of neighbours (sorted by their least x) round after round."""
+    parts = sorted(parts, key=lambda p: float(p[0][:, 0].min()))
+    while len(parts) > 1:
+        before = len(parts)
+        parts = [q for k in range(0, before, batch) for q in polygons.combined(parts[k : k + batch], polygons.either)]
+        if len(parts) >= before:
+            # nothing met within the batches: one last round over all of it
+            return polygons.combined(parts, polygons.either) if before > batch else parts
+    return parts
+
+
+def dissolved(shapes: DataFrame, key: str, size: float) -> DataFrame:
+    """key, geom: the union of shapes (key long, geom) of each key, as polygons cut at the borders of tiles of that size."""
+
+    def make(rows: list[tuple], parts: list[polygons.Polygon]) -> list[tuple]:
+        of: dict[int | None, list[polygons.Polygon]] = {}
+        for (k,), p in zip(rows, parts, strict=True):
+            of.setdefault(k, []).append(p)
+        return [(k, q) for k, own in of.items() for q in merged(own)]
+
+    return in_tiles(shapes.select(F.col(key).cast("long").alias(key), "geom"), size, make, f"{key} long")
+
+
+def apart(shapes: DataFrame, size: float) -> DataFrame:
+    """polygon_id, geom: what of each polygon (polygon_id, geom) no smaller one covers (the lower id of two of equal area keeps it), cut at the borders of tiles."""
+
+    def make(rows: list[tuple], parts: list[polygons.Polygon]) -> list[tuple]:
+        # rows come by area and id
+        of: dict[tuple, list[polygons.Polygon]] = {}
+        for r, p in zip(rows, parts, strict=True):
+            of.setdefault(r, []).append(p)
+        taken: list[polygons.Polygon] = []
+        found = []
+        for (_, k), own in of.items():
+            for p in own:
+                low, high = p[0].min(0), p[0].max(0)
+                near = [q for q in taken if (q[0].min(0) <= high).all() and (q[0].max(0) >= low).all()]
+                found += [(k, q) for q in polygons.combined([p, *near], polygons.first_only)]
+            taken += own
+        return found
+
+    sized = shapes.select(F.round(geometry.polygon_area(F.col("geom")), 9).alias("area"), F.col("polygon_id").cast("long").alias("polygon_id"), "geom")
+    return in_tiles(sized, size, make, "polygon_id long")
 
 
 def overlap_table(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """a_id, b_id, area of shared area of polygons a(a_id, a_geom) with convex polygons b(b_id, b_geom); none where they only touch."""
+    """a_id, b_id, area of shared area of polygons a(a_id, a_geom) with polygons b(b_id, b_geom); none where they only touch."""
     return shared_area(overlapping(a, b, size), "a_geom", "b_geom").where("shared_area > 1e-12").select("a_id", "b_id", F.col("shared_area").alias("area"))
 
 
-def face_shares(faces: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+def face_shares(faces: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     """polygon_id, face_id, share: how much of a face (seen from above) lies in a polygon, exactly, also where it is cut."""
     ring = F.array(F.array(*(F.struct(F.col(f"{k}.x").alias("x"), F.col(f"{k}.y").alias("y")) for k in "abc")))
     tri = faces.select(F.col("face_id").alias("b_id"), ring.alias("b_geom"))
-    met = overlap_table(polygons.select(F.col("polygon_id").alias("a_id"), F.col("geom").alias("a_geom")), tri, size)
+    met = overlap_table(shapes.select(F.col("polygon_id").alias("a_id"), F.col("geom").alias("a_geom")), tri, size)
     whole = tri.select("b_id", geometry.polygon_area(F.col("b_geom")).alias("whole")).where("whole > 0")
     return met.join(whole, "b_id").select(F.col("a_id").alias("polygon_id"), F.col("b_id").alias("face_id"), (F.col("area") / F.col("whole")).alias("share"))
 

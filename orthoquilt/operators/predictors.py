@@ -72,10 +72,13 @@ def region_centres(regions: DataFrame) -> DataFrame:
 
 
 def box_of_text(text: Column) -> Column:
-    """The corners of "[j, i, w, h]", cut to whole numbers."""
-    parts = F.transform(F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ","), lambda s: F.floor(s.cast("double")))
-    at = lambda k: F.get(parts, F.lit(k)).cast("double")
-    return F.struct(at(1).alias("imin"), at(0).alias("jmin"), (at(1) + at(3)).alias("imax"), (at(0) + at(2)).alias("jmax"))
+    """The corners of "[j, i, w, h]": sides are added first, then all are cut to whole numbers towards zero."""
+    parts = F.transform(F.split(F.regexp_replace(text, r"[\[\]\s]", ""), ","), lambda s: s.cast("double"))
+    at = lambda k: F.get(parts, F.lit(k))
+    whole = lambda v: v.cast("long").cast("double")
+    return F.struct(
+        whole(at(1)).alias("imin"), whole(at(0)).alias("jmin"), whole(at(1) + at(3)).alias("imax"), whole(at(0) + at(2)).alias("jmax")
+    )
 
 
 def equirectangular_source(i: Column, j: Column, size: tuple[int, int], fov: float, yaw: Column, pitch: Column, roll: Column, source: tuple[int, int]) -> Column:

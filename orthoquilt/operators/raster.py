@@ -70,7 +70,7 @@ def ramp_weight(i: Column, j: Column, height: Column, width: Column, share: floa
 def mosaic(tiles: DataFrame, share: float, max_overlap: int, nodata: int = 255) -> DataFrame:
     """row, col and class_id of overlapping predictions tiles(col_off, row_off, width, height, i, j, class_id): weights are ramps times
     255 / max_overlap, cut to whole numbers; the heaviest class wins, the lowest on a tie; nodata where all weights are zero."""
-    w = F.floor(ramp_weight(F.col("i"), F.col("j"), F.col("height"), F.col("width"), share) * (255 // max_overlap)).cast("long")
+    w = F.floor(ramp_weight(F.col("i"), F.col("j"), F.col("height"), F.col("width"), share) * (255 / max_overlap)).cast("long")
     placed = tiles.select((F.col("row_off") + F.col("i")).alias("row"), (F.col("col_off") + F.col("j")).alias("col"), "class_id", w.alias("w"))
     summed = placed.groupBy("row", "col", "class_id").agg(F.sum("w").alias("w"))
     best = summed.groupBy("row", "col").agg(F.max(F.struct("w", (-F.col("class_id")).alias("c"))).alias("b"))
@@ -82,6 +82,45 @@ def downsampled(cells: DataFrame, factor: int) -> DataFrame:
     return cells.groupBy(F.floor(F.col("row") / factor).alias("row"), F.floor(F.col("col") / factor).alias("col")).agg(F.avg("value").alias("value"))
 
 
+def resampled(cells: DataFrame, height: int, width: int, factor: float) -> DataFrame:
+    """row, col, value of a raster of int(height / factor) x int(width / factor) cells by bilinear weights: when a raster shrinks, the tent around a
+    target cell's centre is as wide as the target cell on either side, so every source cell counts. Null cells and those beyond the edge are left out
+    and the other weights made up for."""
+    rows, cols = int(height / factor), int(width / factor)
+
+    def spread(df: DataFrame, axis: str, n: int, m: int) -> DataFrame:
+        """A row for each target that a source cell counts for, with its weight."""
+        step = max(n / m, 1.0)
+        ratio = n / m
+        centre = F.col(axis) + 0.5
+        low = F.greatest(F.lit(0), F.floor((centre - step) / ratio - 0.5).cast("long"))
+        high = F.least(F.lit(m - 1), F.ceil((centre + step) / ratio - 0.5).cast("long"))
+        out = df.where(low <= high).withColumn(f"t_{axis}", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+        weight = 1 - F.abs(centre - (F.col(f"t_{axis}") + 0.5) * ratio) / step
+        return out.withColumn(f"w_{axis}", weight).where(F.col(f"w_{axis}") > 1e-12)
+
+    met = spread(spread(cells.where("value is not null"), "row", height, rows), "col", width, cols)
+    w = F.col("w_row") * F.col("w_col")
+    summed = met.groupBy(F.col("t_row").alias("row"), F.col("t_col").alias("col")).agg(F.sum(w * F.col("value")).alias("v"), F.sum(w).alias("w"))
+    return summed.select("row", "col", (F.col("v") / F.col("w")).alias("value"))
+
+
+def without_transparent(tiles: DataFrame, alpha: DataFrame) -> DataFrame:
+    """tiles (col_off, row_off, row, col, ...) with null values where alpha (row, col, alpha) is zero, without those that are transparent all over."""
+    seen = tiles.join(alpha.select("row", "col", "alpha"), ["row", "col"], "left")
+    clear = seen.withColumn("value", F.when(F.coalesce(F.col("alpha"), F.lit(0)) > 0, F.col("value"))).drop("alpha")
+    used = clear.where("value is not null").select("col_off", "row_off").distinct()
+    return clear.join(used, ["col_off", "row_off"], "left_semi")
+
+
+def padded(tiles: DataFrame, size: int, fill: float = 0.0) -> DataFrame:
+    """tiles (col_off, row_off, i, j, value) with a row for each cell of their full size."""
+    place = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long"))
+    grid = tiles.select("col_off", "row_off").distinct().withColumn("i", F.explode(place)).withColumn("j", F.explode(place))
+    met = grid.join(tiles.select("col_off", "row_off", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value"), ["col_off", "row_off", "i", "j"], "left")
+    return met.withColumn("value", F.coalesce("value", F.lit(fill)))
+
+
 def zonal_counts(cells: DataFrame, polygons: DataFrame, normalise: bool = False) -> DataFrame:
     """polygon_id, class_id and n of cell(row, col, class_id) whose centres (col + 0.5, row + 0.5) lie in polygon(polygon_id, geom, in cell
     units). Polygons are spread over the rows and columns of their bounding boxes, so they meet cells by an equi join."""

@@ -11,6 +11,10 @@ from orthoquilt.functions import geometry, linalg
 from orthoquilt.functions.linalg import let, vec
 
 
+#: Rays of a key in a block whose pairs a task forms.
+PAIR_BLOCK = 2000
+
+
 def clip_to_surfaces(rays: DataFrame, surface: DataFrame, size: float, limit: float | None = None) -> DataFrame:
     """Rays cut to run from surface 0 to surface 1 of surface(surface_id, face_id, a, b, c); rays that miss one are dropped, as are
     those longer than the limit. Rays and triangles meet in the (x, y) cells that their boxes share."""
@@ -68,11 +72,18 @@ def edges(
 
 
 def average_point(rays: DataFrame, key: str) -> DataFrame:
-    """For each key the mean of the closest points of all ordered pairs of its rays; keys with one ray give no row."""
+    """For each key the mean of the closest points of all pairs of its rays; keys with one ray give no row. The pairs of a key are what is
+    asked for; they are dealt by blocks of its rays, so a large key is spread over many tasks."""
     own = rays.select(key, "ray_id", "start", "end")
-    other = own.select(key, F.col("ray_id").alias("dst"), F.col("start").alias("s"), F.col("end").alias("e"))
-    pairs = own.join(other, key).where("ray_id < dst")
-    met = pairs.withColumn("c", geometry.closest_points(F.col("start"), F.col("end"), F.col("s"), F.col("e"), clamp=True)).where("c is not null")
+    blocks = own.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PAIR_BLOCK)).cast("int").alias("blocks")).where(f"{key} is not null")
+    block = F.pmod(F.xxhash64("ray_id"), F.col("blocks")).cast("int")
+    dealt = own.join(blocks, key).withColumn("block", block)
+    # a ray of block b meets those of block c in the cell (least, greatest) of both
+    cell = lambda c: F.struct(F.least("block", c).alias("p"), F.greatest("block", c).alias("q"))
+    cells = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
+    other = cells.select(key, "cell", F.col("block").alias("other"), F.col("ray_id").alias("dst"), F.col("start").alias("s"), F.col("end").alias("e"))
+    met = cells.join(other, [key, "cell"]).where("ray_id < dst and (block <> other or cell.p = cell.q)")
+    met = met.withColumn("c", geometry.closest_points(F.col("start"), F.col("end"), F.col("s"), F.col("e"), clamp=True)).where("c is not null")
     mean = lambda k: (F.avg((F.col(f"c.pa.{k}") + F.col(f"c.pb.{k}")) / 2)).alias(k)
     return met.groupBy(key).agg(*map(mean, "xyz"))
 

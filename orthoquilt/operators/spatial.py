@@ -6,10 +6,13 @@ split), then by an exact test. A polygon of many cells and a cell of many points
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orthoquilt.functions import geometry
+from orthoquilt.relations import checkpointed
 
 
 def bounds(rings: Column, k: str) -> tuple[Column, Column]:
@@ -44,12 +47,9 @@ def values_from_polygons(points: DataFrame, polygons: DataFrame, key: str, value
 
 
 def faces_within(faces: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Pairs of a face (a, b, c points) and a polygon with all three corners inside: exact for convex polygons."""
+    """Pairs of a face (a, b, c points) and a polygon that holds it wholly (its border included), convex or not, with or without holes."""
     mid = faces.withColumn("x", (F.col("a.x") + F.col("b.x") + F.col("c.x")) / 3).withColumn("y", (F.col("a.y") + F.col("b.y") + F.col("c.y")) / 3)
-    pairs = points_in_polygons(mid, polygons, size)
-    for k in "abc":
-        pairs = pairs.where(geometry.inside(F.col(f"{k}.x"), F.col(f"{k}.y"), F.col("geom")))
-    return pairs
+    return points_in_polygons(mid, polygons, size).where(geometry.covers_triangle(F.col("geom"), F.col("a"), F.col("b"), F.col("c")))
 
 
 def region_crop(vertices: DataFrame, faces: DataFrame, region: DataFrame, size: float, buffer: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -119,14 +119,36 @@ def with_ground(values: DataFrame, heights: DataFrame, threshold: float, ground_
     return joined.select("face_id", F.when(low, F.lit(ground_class)).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def nearest(points: DataFrame, targets: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
-    """point_id, target_id and dist of each point's nearest target within the radius (lowest id on a tie): targets are found in the
-    neighbouring cells of a grid of that side, so the answer is exact up to the radius and absent beyond."""
-    cells = [f"__c{k}" for k in range(len(axes))]
-    a, b = points.select("point_id", *axes), targets.select("target_id", *(F.col(k).alias(f"t_{k}") for k in axes))
-    for k, c in zip(axes, cells, strict=True):
-        a = a.withColumn(c, F.explode(F.sequence(_cell(F.col(k), radius) - 1, _cell(F.col(k), radius) + 1)))
-        b = b.withColumn(c, _cell(F.col(f"t_{k}"), radius))
+def nearest(points: DataFrame, targets: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), limit: float | None = None, apart: bool = False) -> DataFrame:
+    """point_id, target_id and dist of each point's nearest target (lowest id on a tie), by default however far it is; `apart` leaves out the target
+    of the point's own id. Targets are looked for in the neighbouring cells of a grid of side `radius`, which is exact up to that distance; points
+    that found none there go on with a doubled radius, until all have one, or up to `limit`."""
     square = sum(((F.col(k) - F.col(f"t_{k}")) * (F.col(k) - F.col(f"t_{k}")) for k in axes), F.lit(0.0))
-    met = a.join(b, cells).select("point_id", "target_id", F.round(F.sqrt(square), 9).alias("dist")).where(F.col("dist") <= radius)
-    return met.groupBy("point_id").agg(F.min(F.struct("dist", "target_id")).alias("m")).select("point_id", "m.target_id", "m.dist")
+    cells = [f"__c{k}" for k in range(len(axes))]
+    left = points.select("point_id", *axes).where(" and ".join(f"{k} is not null" for k in axes))
+    side = targets.select("target_id", *(F.col(k).alias(f"t_{k}") for k in axes)).where(" and ".join(f"t_{k} is not null" for k in axes))
+    span = side.agg(*(f(f"t_{k}") for k in axes for f in (F.min, F.max))).unionAll(left.agg(*(f(k) for k in axes for f in (F.min, F.max)))).collect()  # two rows
+    found = []
+    if span[0][0] is not None and span[1][0] is not None:
+        most = max(max(r[2 * k + 1] for r in span) - min(r[2 * k] for r in span) for k in range(len(axes))) * len(axes) ** 0.5
+        most = max(most, radius) if limit is None else limit
+        while True:
+            reach = min(radius, most)
+            a, b = left, side
+            for k, c in zip(axes, cells, strict=True):
+                a = a.withColumn(c, F.explode(F.sequence(_cell(F.col(k), reach) - 1, _cell(F.col(k), reach) + 1)))
+                b = b.withColumn(c, _cell(F.col(f"t_{k}"), reach))
+            met = a.join(b, cells).select("point_id", "target_id", F.round(F.sqrt(square), 9).alias("dist")).where(F.col("dist") <= reach)
+            if apart:
+                met = met.where("point_id <> target_id")
+            best = met.groupBy("point_id").agg(F.min(F.struct("dist", "target_id")).alias("m")).select("point_id", "m.target_id", "m.dist")
+            if reach >= most:
+                found.append(best)
+                break
+            best = checkpointed(best)
+            found.append(best)
+            left = checkpointed(left.join(best, "point_id", "left_anti"))
+            if not left.take(1):
+                break
+            radius *= 2
+    return reduce(DataFrame.union, found) if found else points.select("point_id", F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("double").alias("dist")).where("false")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orthoquilt.functions import crs
 from orthoquilt.functions.linalg import let, norm, sub, vec
 from orthoquilt.operators import cameras as cam
 from orthoquilt.operators import correspondence, graph, overlay, raster, rays, spatial, votes
+from orthoquilt.sources import rasters
 
 
 def aggregate_images(cameras: DataFrame, faces: DataFrame, pixels: DataFrame, scale: float, reach: float, cell: float, every: int = 1, apply_distortion: bool = False) -> DataFrame:
@@ -106,6 +107,72 @@ def height_masks(obs: DataFrame, heights: DataFrame, cut: float) -> DataFrame:
     return seen.select("camera_id", "i", "j", spatial.height_class(F.col("height"), cut).alias("height_class"))
 
 
+def chip_raster(
+    spark: SparkSession, path: str, folder: str, size: int, stride: int, labels: DataFrame | None = None, roi: DataFrame | None = None, keep_empty: bool = False,
+    background: int = 0, suffix: str = ".tif",
+) -> DataFrame:
+    """Cut a GeoTIFF's first band into tiles of one size, written into a folder as `stem:col:row:width:height`; with labels (polygon_id, class_id, geom in the
+    raster's coordinates) the tiles hold classes (cell centres; the later polygon wins), and those of background only are left out. `roi` (geom) keeps
+    tiles with a cell in it. Gives the names written."""
+    info = rasters.raster_info(spark, path).first()
+    transform = tuple(info["transform"])
+    a, b, c, d, e, f = transform
+    cells = rasters.read_geotiff(spark, path).where("band = 0").select("row", "col", "value")
+    x = (F.col("col") + 0.5) * a + (F.col("row") + 0.5) * b + c
+    y = (F.col("col") + 0.5) * d + (F.col("row") + 0.5) * e + f
+    at = cells.withColumns({"x": x, "y": y}).withColumn("cell", F.struct("row", "col"))
+    reach = size * max(abs(a) + abs(b), abs(d) + abs(e))
+    if labels is not None:
+        named = spatial.values_from_polygons(at.select("cell", "x", "y"), labels, "cell", "class_id", "polygon_id", reach, F.lit(background))
+        cells = named.select("cell.row", "cell.col", F.col("class_id").alias("value"))
+    tiles = raster.chips(cells, size, stride, background, keep_empty or labels is None)
+    if roi is not None:
+        held = spatial.points_in_polygons(at.select("row", "col", "x", "y"), roi.select("geom"), reach).select("row", "col").distinct()
+        kept = tiles.join(held, ["row", "col"], "left_semi").select("col_off", "row_off").distinct()
+        tiles = tiles.join(kept, ["col_off", "row_off"], "left_semi")
+    stem = path.rstrip("/").split("/")[-1].rsplit(".", 1)[0]
+    size_ = F.lit(size).cast("long")
+    named = tiles.withColumns({"width": size_, "height": size_}).withColumn("name", F.concat(raster.window_name(F.col("col_off"), F.col("row_off"), size_, size_, stem), F.lit(suffix)))
+    kind = "uint8" if labels is not None else "float32"
+    rasters.write_files(rasters.encoded(named, transform, kind, background, info["epsg"]), folder)
+    return named.select("name", "col_off", "row_off").distinct()
+
+
+def assemble_predictions(spark: SparkSession, folder: str, share: float = 0.25, max_overlap: int = 4, nodata: int = 255) -> DataFrame:
+    """row, col, class_id of the mosaic of predicted tiles, GeoTIFF files named by their windows; rows and columns count from the least window's."""
+    cells = rasters.decoded(rasters.files_in(spark, folder)).where("band = 0")
+    tiles = cells.select("path", F.col("row").alias("i"), F.col("col").alias("j"), F.col("value").cast("long").alias("class_id"))
+    tiles = tiles.withColumn("w", raster.window_of_name(F.col("path"))).select("w.*", "i", "j", "class_id")
+    return raster.mosaic(tiles, share, max_overlap, nodata)
+
+
+def saved_images(cameras: DataFrame, folder: str, source: str = "image_filename") -> DataFrame:
+    """Copy the cameras' images into a folder by their relative paths, where the rows are; nothing is deleted. Gives what was copied to where."""
+    plan = cameras.select(F.col(source).alias("source"), F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_replace(F.col(source), "^[a-z]+://[^/]*", "")).alias("target"))
+    plan = plan.withColumn("target", F.regexp_replace("target", "(?<![:/])//+", "/"))
+
+    def copy(rows: Iterator) -> None:
+        from pyarrow import fs
+
+        for row in rows:
+            (a, p), (b, q) = (fs.FileSystem.from_uri(row[k] if "://" in row[k] else "file://" + row[k]) for k in ("source", "target"))
+            b.create_dir(q.rsplit("/", 1)[0], recursive=True)
+            fs.copy_files(p, q, source_filesystem=a, destination_filesystem=b)
+
+    plan.foreachPartition(copy)
+    return plan
+
+
+def staged(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a stage: read from the folder if an earlier run has finished it there, else made and written, so a plan can go on where it stopped."""
+    path = f"{folder.rstrip('/')}/{name}"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def in_frame_of(vertices: DataFrame, source: int, target: int) -> DataFrame:
     """vertices (x, y, z) from one EPSG code to another."""
     moved = vertices.select("*", F.explode(F.array(let(vec(F.col("x"), F.col("y"), F.col("z")), lambda p: crs.convert(p, source, target)))).alias("__p"))

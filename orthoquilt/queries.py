@@ -12,7 +12,7 @@ from orthoquilt.functions.linalg import vec
 from orthoquilt.operators import cameras as cam
 from orthoquilt.operators import correspondence, graph, metrics, overlay, predictors, raster, spatial, votes
 from orthoquilt.operators import rays as ray_ops
-from orthoquilt.plans import scene
+from orthoquilt.plans import scene, workflows
 from orthoquilt.plans.scene import ctes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,7 +245,19 @@ def geodetic_ecef(spark, d):
     return both.select("s_suppkey", *(F.round(f"p.{c}", 4).alias(c) for c in "xyz"), F.round("g.y", 6).alias("lat"), F.round("g.z", 3).alias("height"))
 
 
-@query()
+_N = repr(1 / 298.257223563 / (2 - 1 / 298.257223563))
+#: The transverse Mercator series with isometric latitudes instead of the library's tangents.
+_UTM = f"""with p as (select s_suppkey, (s_suppkey % 84)::double lat, (-60 - s_suppkey % 120)::double lon from supplier),
+z as (select *, (32700 - round_even((45 + lat) / 90, 0) * 100 + round_even((183 + lon) / 6, 0))::bigint epsg from p),
+g as (select *, radians(lat) phi, radians(lon - (epsg % 100 * 6 - 183)) lam, {_N}::double n from z),
+c as (select *, sinh(atanh(sin(phi)) - sqrt({_E2}::double) * atanh(sqrt({_E2}::double) * sin(phi))) t from g),
+k as (select *, atan2(t, cos(lam)) xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) eta, 6378137.0 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) r,
+ [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] a from c)
+select s_suppkey, epsg, round(0.9996 * r * (eta + list_sum([a[q] * cos(2 * q * xi) * sinh(2 * q * eta) for q in [1, 2, 3, 4]])) + 500000, 3) x,
+ round(0.9996 * r * (xi + list_sum([a[q] * sin(2 * q * xi) * cosh(2 * q * eta) for q in [1, 2, 3, 4]])) + if(epsg >= 32700, 10000000, 0), 3) y from k"""
+
+
+@query(_UTM)
 def utm_forward(spark, d):
     k = F.col("s_suppkey")
     place = table(spark, d, "supplier").select(k, (k % 84).cast("double").alias("lat"), (-60 - k % 120).cast("double").alias("lon"))
@@ -283,7 +295,7 @@ def distortion_key(spark, d):
     return table(spark, d, "part").select("p_partkey", distortion.key(params).alias("distortion_key"))
 
 
-@query()
+@query("select c_custkey, round(least(179, greatest(0, c_custkey % 181 - 0.5)), 6)::double i, round((c_custkey % 360 + 179.5) % 360, 6)::double j from customer")
 def equirect_direction(spark, d):
     """Where each pixel of a 101 x 151 view of each customer's bearing comes from in a 180 x 360 panorama: centre pixels only."""
     k = F.col("c_custkey")
@@ -374,12 +386,11 @@ def ground_label(spark, d):
 
 
 @query(f"""with {_EMBEDDED}, pairs as (select a.vec_id point_id, b.vec_id target_id, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 9) dist
- from v a join v b on a.vec_id <> b.vec_id) select point_id, arg_min(target_id, row(dist, target_id)) target_id, min(dist) dist from pairs where dist <= 0.4 and point_id % 2 = 1 and target_id % 2 = 0 group by point_id""")
+ from v a join v b on a.vec_id <> b.vec_id) select point_id, arg_min(target_id, row(dist, target_id)) target_id, min(dist) dist from pairs group by point_id""")
 def nearest_vertex(spark, d):
-    """For each odd vector the nearest even one, within a radius."""
+    """For each vector the nearest other one, however far."""
     v = _embedded(spark, d)
-    odd = v.where("vec_id % 2 = 1").withColumnRenamed("vec_id", "point_id")
-    return spatial.nearest(odd, v.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "target_id"), 0.4)
+    return spatial.nearest(v.withColumnRenamed("vec_id", "point_id"), v.withColumnRenamed("vec_id", "target_id"), 0.05, apart=True)
 
 
 # Rays -----------------------------------------------------------------------------------------------------------------
@@ -392,10 +403,30 @@ def ray_clip_planes(spark, d):
     return ray_ops.clip_to_planes(rays, 80.0, 20.0).select("ray_id", "camera_id", *(F.round(f"{e}.{k}", 6).alias(f"{e[0]}{k}") for e in ("start", "end") for k in "xy"))
 
 
-@query()
+#: Closest points of segments a and b in SQL, told from the five places where they can be: at the crossing of both lines, if it lies on the segments, else at
+#: an end of one of them (the library follows the clamped parameters instead).
+_CLOSEST = """d as (select *, ax1 - ax0 ux, ay1 - ay0 uy, az1 - az0 uz, bx1 - bx0 vx, by1 - by0 vy, bz1 - bz0 vz, bx0 - ax0 wx, by0 - ay0 wy, bz0 - az0 wz from pairs),
+dots as (select *, ux * ux + uy * uy + uz * uz uu, vx * vx + vy * vy + vz * vz vv, ux * vx + uy * vy + uz * vz uv, ux * wx + uy * wy + uz * wz uw, vx * wx + vy * wy + vz * wz vw from d),
+cross_ as (select *, (uw * vv - uv * vw) / (uu * vv - uv * uv) s, (uv * uw - uu * vw) / (uu * vv - uv * uv) t from dots),
+places as (select a, b, unnest([{'s': s, 't': t, 'free': true}, {'s': 0.0, 't': -vw / vv, 'free': false}, {'s': 1.0, 't': (uv - vw) / vv, 'free': false}, {'s': uw / uu, 't': 0.0, 'free': false},
+  {'s': (uw + uv) / uu, 't': 1.0, 'free': false}]) p, * exclude (a, b, s, t) from cross_),
+held as (select * replace ({'s': least(1, greatest(0, p.s)), 't': least(1, greatest(0, p.t)), 'free': p.free} as p) from places where not p.free or (p.s between 0 and 1 and p.t between 0 and 1)),
+apart as (select a, b, ax0 + p.s * ux px, ay0 + p.s * uy py, az0 + p.s * uz pz, bx0 + p.t * vx qx, by0 + p.t * vy qy, bz0 + p.t * vz qz from held),
+closest as (select a, b, min(sqrt((px - qx) ** 2 + (py - qy) ** 2 + (pz - qz) ** 2)) dist,
+  arg_min({'x': (px + qx) / 2, 'y': (py + qy) / 2, 'z': (pz + qz) / 2}, sqrt((px - qx) ** 2 + (py - qy) ** 2 + (pz - qz) ** 2)) m from apart group by a, b)"""
+
+
+def _ray_pairs(where: str) -> str:
+    ends = ", ".join(f"{n}.{e}{k} {n}{k}{i}" for n in "ab" for i, e in enumerate("se") for k in "xyz")
+    return f"pairs as (select a.ray_id a, b.ray_id b, {ends} from rays a join rays b on a.ray_id < b.ray_id and {where})"
+
+
+#: Blocks of 400 rays lie at least two apart, so the SQL need not look beyond a block.
+@query(f"""{ctes('rays')}, {_ray_pairs("floor(a.ray_id / 400) = floor(b.ray_id / 400) and a.camera_id <> b.camera_id")}, {_CLOSEST}
+select a src, b dst, round(greatest(dist, 1e-4), 6) dist, round(1 / greatest(dist, 1e-4), 6) weight from closest where dist <= 0.1""")
 def ray_edges(spark, d):
-    """Rays of different cameras that pass within 2 centimetres (rays of one detection grid are dense)."""
-    return ray_ops.edges(scene.rays(spark, d), 0.02, 1e-4, cell=5.0).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
+    """Rays of different cameras that pass within 10 centimetres."""
+    return ray_ops.edges(scene.rays(spark, d), 0.1, 1e-4, cell=5.0).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
 
 
 _NORMAL = """n as (select *, (ex - sx) / l dx, (ey - sy) / l dy, (ez - sz) / l dz from (select *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) l from rays)),
@@ -415,38 +446,26 @@ def _ray_groups(spark: SparkSession, d: str) -> DataFrame:
     return scene.rays(spark, d).withColumn("event_group", F.floor(F.col("ray_id") / 8))
 
 
-@query()
+@query(f"""{ctes('rays')}, {_ray_pairs("floor(a.ray_id / 8) = floor(b.ray_id / 8)")}, {_CLOSEST}
+select floor(a / 8)::bigint event_group, round(avg(m.x), 4) x, round(avg(m.y), 4) y, round(avg(m.z), 4) z from closest group by 1""")
 def ray_point_average(spark, d):
     """Mean closest point of each eight rays in a row."""
     found = ray_ops.average_point(_ray_groups(spark, d), "event_group")
     return found.select("event_group", *(F.round(k, 4).alias(k) for k in "xyz"))
 
 
-_LINKS = "links as (select distinct l_suppkey src, l_partkey + 1000000 dst from lineitem where l_quantity > 49.5 and l_partkey % 3 = 0)"
-
-
-def _links(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity > 49.5 and l_partkey % 3 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
-
-
-@query(f"""with recursive {_LINKS}, both_ as (select src a, dst b from links union select dst, src from links),
-reach(node, seen) as (select distinct a, a from both_ union select node, b from reach join both_ on seen = a)
-select node, min(seen) component from reach group by node""")
+@query("""with recursive links as (select distinct l_suppkey a, l_partkey + 1000000 b from lineitem), edges as (select a, b from links union all select b, a from links),
+reach(node, component) using key (node) as (select distinct a, a from edges union select e.b, min(reach.component) from reach join edges e on e.a = reach.node
+ join recurring.reach p on p.node = e.b where reach.component < p.component group by e.b) select node, component from reach""")
 def connected_rays(spark, d):
-    """Components of a sparse graph of suppliers and parts."""
-    return graph.components(_links(spark, d))
+    """Components of all links of suppliers and parts."""
+    return graph.components(_all_links(spark, d))
 
 
 def _all_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
 
 
-@query()
-def connected_rays_all(spark, d):
-    """Components of all links of suppliers and parts; `connected_rays` keeps to the sparse graph of its recursive SQL."""
-    return graph.components(_all_links(spark, d))
-
-
 @query()
 def communities(spark, d):
     """Communities of all links of suppliers and parts."""
@@ -486,16 +505,16 @@ def tile_cells(spark, d):
 _RAMP = "least(1, greatest(0, least(i, 7 - i) / (8 * 0.25)), greatest(0, least(j, 7 - j) / (8 * 0.25)))"
 
 
-@query(f"""{ctes('faces')}, {_CELLS}, c as (select unnest(range(0, 50, 6)) col_off), r as (select unnest(range(0, 5000, 6)) row_off),
-t as (select row_, col, class_id, row_ - row_off i, col - col_off j, row_off, col_off from cells join c on col >= col_off and col < col_off + 8 join r on row_ >= row_off and row_ < row_off + 8),
-p as (select row_, col, (class_id + (col_off + row_off) % 3) % 5 class_id, floor(least(1, greatest(0, least(i, 7 - i) / 2), greatest(0, least(j, 7 - j) / 2)) * 63)::bigint w from t),
+@query(f"""{ctes('faces')}, {_CELLS}, c as (select unnest(range(0, 50, 15)) col_off), r as (select unnest(range(0, 5000, 15)) row_off),
+t as (select row_, col, class_id, row_ - row_off i, col - col_off j, row_off, col_off from cells join c on col >= col_off and col < col_off + 20 join r on row_ >= row_off and row_ < row_off + 20),
+p as (select row_, col, (class_id + (col_off + row_off) % 3) % 5 class_id, trunc(255 * least(5, i, 19 - i, j, 19 - j) / 20)::bigint w from t),
 s as (select row_, col, class_id, sum(w) w from p group by all)
 select row_ "row", col, (case when max(w) > 0 then arg_max(class_id, row(w, -class_id)) else 255 end)::bigint class_id from s group by all""")
 def mosaic_max_class(spark, d):
-    """Overlapping tiles that disagree, put together by ramp weights."""
-    tiles = raster.tile_cells(_cells(spark, d), 8, 6)
+    """Overlapping tiles that disagree, put together by ramp weights: 255 over four tiles is no whole number."""
+    tiles = raster.tile_cells(_cells(spark, d), 20, 15)
     tiles = tiles.withColumn("class_id", (F.col("class_id") + (F.col("col_off") + F.col("row_off")) % 3) % 5)
-    return raster.mosaic(tiles.withColumn("width", F.lit(8)).withColumn("height", F.lit(8)), 0.25, 4)
+    return raster.mosaic(tiles.withColumn("width", F.lit(20)).withColumn("height", F.lit(20)), 0.25, 4)
 
 
 @query(f"select i, j, round({_RAMP}, 6) w from range(0, 8) t(i), range(0, 8) u(j)")
@@ -528,18 +547,140 @@ def detection_masks(spark, d):
 # Correspondence -------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _seen(scale: float) -> str:
+    """obs in SQL: pixels of cameras that look straight down, at an image scale."""
+    w, h, f = int(800 * scale), int(600 * scale), 1000 * scale
+    return f"""corners as (select face_id, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, c.x cx, c.y cy, c.z cz, p_brand from mesh
+ join vertices a on v0 = a.vertex_id join vertices b on v1 = b.vertex_id join vertices c on v2 = c.vertex_id),
+drawn as (select camera_id, face_id, {w / 2} + {f} * (ax - x) / (z - az) px, {h / 2} - {f} * (ay - y) / (z - az) py, z - az pd, {w / 2} + {f} * (bx - x) / (z - bz) qx, {h / 2} - {f} * (by_ - y) / (z - bz) qy, z - bz qd,
+ {w / 2} + {f} * (cx - x) / (z - cz) rx, {h / 2} - {f} * (cy - y) / (z - cz) ry, z - cz rd from corners, cameras where z > greatest(az, bz, cz)),
+spans as (select *, greatest(0, ceil(least(py, qy, ry) - 0.5))::int i0, least({h - 1}, floor(greatest(py, qy, ry) - 0.5))::int i1, greatest(0, ceil(least(px, qx, rx) - 0.5))::int j0,
+ least({w - 1}, floor(greatest(px, qx, rx) - 0.5))::int j1 from drawn),
+rows_ as (select *, unnest(range(i0, i1 + 1))::int i from spans where i0 <= i1 and j0 <= j1), pixels as (select *, unnest(range(j0, j1 + 1))::int j from rows_),
+sides as (select camera_id, i, j, face_id, pd, qd, rd, (rx - qx) * (i + 0.5 - qy) - (ry - qy) * (j + 0.5 - qx) wp, (px - rx) * (i + 0.5 - ry) - (py - ry) * (j + 0.5 - rx) wq,
+ (qx - px) * (i + 0.5 - py) - (qy - py) * (j + 0.5 - px) wr from pixels),
+seen as (select camera_id, i, j, arg_min(face_id, row(round((wp + wq + wr) / (wp / pd + wq / qd + wr / rd), 9), face_id)) face_id from sides
+ where ((wp >= 0 and wq >= 0 and wr >= 0) or (wp <= 0 and wq <= 0 and wr <= 0)) and wp + wq + wr <> 0 group by camera_id, i, j)"""
+
+
+_SEEN = _seen(0.25)
+
+
+@query(f"{ctes('squares', 'cameras')}, {_SEEN} select camera_id, i, j, face_id from seen")
 def zbuffer_raster(spark, d):
-    """Faces of the part mesh in every camera at a hundredth of the resolution."""
+    """Faces of the part mesh in every camera at a quarter of the resolution, where a face has several pixels."""
     corner = scene.mesh_corners(*scene.grid_mesh(spark, d))
-    return correspondence.visible_faces(scene.cameras(spark, d), corner, 0.02, 80.0, 10.0)
+    return correspondence.visible_faces(scene.cameras(spark, d), corner, 0.25, None, 10.0)
 
 
-@query()
+@query(f"""{ctes('squares', 'cameras')}, {_SEEN} select camera_id, case when face_id % 7 > 0 then face_id % 7 end class_id, count(*) n from seen group by all""")
 def rendered_labels(spark, d):
-    """How many pixels of each camera show each class."""
+    """How many pixels of each camera show each class; some faces have none."""
     _, tri = scene.grid_mesh(spark, d)
-    return correspondence.rendered(zbuffer_raster(spark, d), tri.select("face_id", "class_id")).groupBy("camera_id", "class_id").agg(F.count("*").alias("n"))
+    value = tri.where("face_id % 7 > 0").select("face_id", (F.col("face_id") % 7).alias("class_id"))
+    return correspondence.rendered(zbuffer_raster(spark, d), value).groupBy("camera_id", "class_id").agg(F.count("*").alias("n"))
+
+
+# Workflows ------------------------------------------------------------------------------------------------------------
+
+
+def _pixels(spark: SparkSession, d: str, scale: float) -> DataFrame:
+    """A class, or none, for every pixel of every camera."""
+    grid = scene.cameras(spark, d).select("camera_id", F.explode(F.sequence(F.lit(0), F.lit(int(600 * scale) - 1))).alias("i"))
+    grid = grid.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(int(800 * scale) - 1))))
+    return grid.withColumn("class_id", (F.col("camera_id") + F.col("i") * 3 + F.col("j")) % 5).where("class_id < 4")
+
+
+@query(f"""{ctes('squares', 'cameras')}, {_seen(0.1)}, last_ as (select camera_id, face_id, arg_max((camera_id + i * 3 + j) % 5, row(i, j)) class_id from seen where (camera_id + i * 3 + j) % 5 < 4 group by all),
+n as (select face_id, class_id, count(*) n from last_ group by all)
+select face_id, arg_max(class_id, row(n, -class_id))::bigint pred_class, sum(n)::double n_votes, sum(n)::bigint n_views from n group by face_id""")
+def aggregated_images(spark, d):
+    """Views to a map, end to end."""
+    corner = scene.mesh_corners(*scene.grid_mesh(spark, d))
+    found = workflows.aggregate_images(scene.cameras(spark, d), corner, _pixels(spark, d, 0.1), 0.1, None, 10.0)
+    return found.withColumn("n_votes", F.col("n_votes").cast("double"))
+
+
+@query(f"""{ctes('squares', 'cameras', 'boxes')}, {_seen(0.1)}, mid as (select face_id, (ax + bx + cx) / 3 x, (ay + by_ + cy) / 3 y from corners),
+named as (select face_id, arg_max(class_id, polygon_id) class_id from mid join boxes on x > x0 and x < x1 and y > y0 and y < y1 group by face_id)
+select camera_id, i, j, class_id from seen join named using (face_id)""")
+def rendered_polygons(spark, d):
+    """A map to views, end to end."""
+    corner = scene.mesh_corners(*scene.grid_mesh(spark, d))
+    return workflows.render_labels(scene.cameras(spark, d), corner, scene.boxes(spark, d).select("polygon_id", "class_id", "geom"), 0.1, None, 10.0)
+
+
+@query(f"""{ctes('squares', 'cameras')}, {_seen(0.1)}, heights as (select face_id, (az + bz + cz) / 3 - 20 height from corners where face_id % 11 > 0)
+select camera_id, i, j, (case when height is null then 0 when height <= 2 then 1 else 2 end)::int height_class from seen left join heights using (face_id)""")
+def height_masks(spark, d):
+    corner = scene.mesh_corners(*scene.grid_mesh(spark, d))
+    heights = corner.where("face_id % 11 > 0").select("face_id", ((F.col("a.z") + F.col("b.z") + F.col("c.z")) / 3 - 20).alias("height"))
+    return workflows.height_masks(correspondence.visible_faces(scene.cameras(spark, d), corner, 0.1, None, 10.0), heights, 2.0)
+
+
+def _angled(spark: SparkSession, d: str) -> DataFrame:
+    """L-shapes: the boxes without their upper right part."""
+    p = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    ring = F.array(p("x0", "y0"), p("x1", "y0"), p("x1", "y0 + 5.25D"), p("x0 + 6.25D", "y0 + 5.25D"), p("x0 + 6.25D", "y1"), p("x0", "y1"))
+    return scene.boxes(spark, d).withColumn("geom", F.array(ring))
+
+
+#: Whether a unit right triangle of the mesh lies in an L-shape: all of it in the box, none of it in the part that is cut off.
+_IN_L = """case when face_id % 2 = 0 then greatest(x0 + 6.25, ax) + greatest(y0 + 5.25, ay) >= ax + ay + 1 else not (ax > x0 + 6.25 and ay + 1 > y0 + 5.25) end"""
+
+
+@query(f"""{ctes('squares', 'boxes')}, t as (select face_id, a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz, c.x cx, c.y cy, c.z cz from mesh
+ join vertices a on v0 = a.vertex_id join vertices b on v1 = b.vertex_id join vertices c on v2 = c.vertex_id),
+n as (select *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) nz from t),
+w as (select polygon_id, face_id % 5 class_id, round(sum(sqrt(nx * nx + ny * ny + nz * nz) / 2), 6) w from n join boxes
+ on least(ax, bx, cx) > x0 and greatest(ax, bx, cx) < x1 and least(ay, by_, cy) > y0 and greatest(ay, by_, cy) < y1 and {_IN_L} where face_id % 5 < 4 group by all),
+top as (select polygon_id, arg_max(class_id, row(w, -class_id)) pred_class from w group by polygon_id) select polygon_id, pred_class from boxes left join top using (polygon_id)""")
+def labelled_polygons(spark, d):
+    """The class of each L-shape by the true area of the faces within it."""
+    vertices, tri = scene.grid_mesh(spark, d)
+    value = tri.select("face_id", F.when(F.col("face_id") % 5 < 4, F.col("face_id") % 5).alias("pred_class"))
+    return workflows.label_polygons(scene.mesh_corners(vertices, tri.drop("class_id")), value, _angled(spark, d), 10.0)
+
+
+@query(f"""{ctes('boxes')}, cut(x0, y0, x1, y1, sign) as (values (0, 0, 12, 10, 1), (6.25, 5.25, 12, 10, -1), (2, 2, 4, 4, -1)),
+parts as (select polygon_id b_id, b.x0 + 3 + cut.x0 x0, b.y0 + 2 + cut.y0 y0, b.x0 + 3 + cut.x1 x1, b.y0 + 2 + cut.y1 y1, sign from boxes b, cut),
+shared as (select a.polygon_id a_id, b_id, sum(sign * greatest(0, least(a.x1, p.x1) - greatest(a.x0, p.x0)) * greatest(0, least(a.y1, p.y1) - greatest(a.y0, p.y0))) area from boxes a, parts p group by all)
+select a_id, b_id, round(area, 6)::double area from shared where area > 1e-9""")
+def overlap_of_angled(spark, d):
+    """Boxes with moved L-shapes that have a hole."""
+    moved = lambda g, dx, dy: F.transform(g, lambda r: F.transform(r, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
+    hole = F.flatten(geometry.box(F.col("x0") + 2, F.col("y0") + 2, F.col("x0") + 4, F.col("y0") + 4))
+    b = _angled(spark, d).select(F.col("polygon_id").alias("b_id"), moved(F.concat("geom", F.array(hole)), 3.0, 2.0).alias("b_geom"))
+    a = scene.boxes(spark, d).select(F.col("polygon_id").alias("a_id"), F.col("geom").alias("a_geom"))
+    return overlay.overlap_table(a, b, 10.0).withColumn("area", F.round("area", 6))
+
+
+@query(f"""{ctes('boxes')}, xs as (select distinct unnest([x0, x1]) x from boxes), ys as (select distinct unnest([y0, y1]) y from boxes),
+sx as (select x, lead(x) over (order by x) x_ from xs), sy as (select y, lead(y) over (order by y) y_ from ys),
+held as (select distinct class_id, x, y, x_, y_ from sx, sy join boxes b on b.x0 < x_ and b.x1 > x and b.y0 < y_ and b.y1 > y) select class_id, round(sum((x_ - x) * (y_ - y)), 6) area from held group by class_id""")
+def dissolved_area(spark, d):
+    """The area that the boxes of each class cover together."""
+    merged = overlay.dissolved(scene.boxes(spark, d).select("class_id", "geom"), "class_id", 16.0)
+    return merged.groupBy("class_id").agg(F.round(F.sum(geometry.polygon_area(F.col("geom"))), 6).alias("area"))
+
+
+@query(f"""{ctes('boxes')}, sized as (select *, (x1 - x0) * (y1 - y0) area from boxes), xs as (select distinct unnest([x0, x1]) x from boxes), ys as (select distinct unnest([y0, y1]) y from boxes),
+sx as (select x, lead(x) over (order by x) x_ from xs), sy as (select y, lead(y) over (order by y) y_ from ys),
+held as (select x, y, x_, y_, arg_min(polygon_id, row(round(area, 9), polygon_id)) polygon_id from sx, sy join sized b on b.x0 < x_ and b.x1 > x and b.y0 < y_ and b.y1 > y group by all)
+select polygon_id, round(sum((x_ - x) * (y_ - y)), 6) area from held group by polygon_id""")
+def polygons_apart(spark, d):
+    """What each box keeps if the smallest has what several cover."""
+    own = overlay.apart(scene.boxes(spark, d).select("polygon_id", "geom"), 16.0)
+    return own.groupBy("polygon_id").agg(F.round(F.sum(geometry.polygon_area(F.col("geom"))), 6).alias("area"))
+
+
+@query("""with t as (select o_orderkey, (o_orderkey % 97) / 4 j, (o_orderkey % 89) / 8 - 3 i, (o_orderkey % 13) / 4 w, (o_orderkey % 11) / 8 h from orders)
+select o_orderkey, trunc(i)::int::double imin, trunc(j)::int::double jmin, trunc(i + h)::int::double imax, trunc(j + w)::int::double jmax from t""")
+def boxes_of_text(spark, d):
+    """Detections of fractional boxes, written as "[j, i, w, h]"."""
+    k = F.col("o_orderkey")
+    text = F.format_string("[%s, %s, %s, %s]", (k % 97) / 4, (k % 89) / 8 - 3, (k % 13) / 4, (k % 11) / 8)
+    return table(spark, d, "orders").select("o_orderkey", F.explode(F.array(predictors.box_of_text(text))).alias("b")).select("o_orderkey", "b.*")
 
 
 # Overlays, metrics, covers --------------------------------------------------------------------------------------------

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orthoquilt.functions import linalg
 from orthoquilt.functions.crs import dms_to_degrees
@@ -130,7 +131,12 @@ def exif_position(data: bytes) -> tuple[float, ...] | None:
 
 def exif_positions(files: DataFrame) -> DataFrame:
     """path, lon, lat of image files (path, content); hemispheres are not told apart, as in the files' unsigned degrees."""
-    parse = F.udf(exif_position, T.ArrayType(T.DoubleType()))
-    rows = files.select("path", F.explode(F.array(parse("content"))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([exif_position(data.as_py() or b"") for data in batch.column(1)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["path", "v"])
+
+    rows = files.select("path", "content").mapInArrow(run, "path string, v array<double>")
     at = lambda k: F.get("v", F.lit(k))
     return rows.select("path", dms_to_degrees(at(0), at(1), at(2)).alias("lon"), dms_to_degrees(at(3), at(4), at(5)).alias("lat"))

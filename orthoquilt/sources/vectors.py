@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orthoquilt.operators.cameras import dense_ids
 from orthoquilt.operators.predictors import box_of_text
 from orthoquilt.relations import RINGS
 
@@ -57,13 +58,16 @@ def label_map_json(labels: DataFrame) -> DataFrame:
 
 
 def read_detections(spark: SparkSession, path: str, image: str = "image_path", label: str = "label", box: str | None = None) -> DataFrame:
-    """detection rows of one CSV file or a folder of them. Instance ids follow file name and position, gaps allowed; `box` names a column
+    """detection rows of one CSV file or a folder of them. Instance ids are 0, 1, 2, ... by file name and position; `box` names a column
     such as "[j, i, w, h]", otherwise imin, jmin, imax, jmax are columns."""
-    raw = spark.read.option("header", True).csv(path).withColumn("__file", F.input_file_name()).withColumn("__row", F.monotonically_increasing_id())
+    raw = spark.read.option("header", True).csv(path).select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row")
+    )
+    raw = dense_ids(raw, "__id", "__file", "__block", "__row")  # ids grow within a block of a file
     if box:
         raw = raw.withColumn("__b", box_of_text(F.col(box))).select("*", "__b.*")
     return raw.select(
-        F.col("__row").alias("instance_id"), F.col(image).alias("image_path"), F.col(label).alias("label"), *(F.col(c).cast("double").alias(c) for c in ("imin", "jmin", "imax", "jmax"))
+        F.col("__id").alias("instance_id"), F.col(image).alias("image_path"), F.col(label).alias("label"), *(F.col(c).cast("double").alias(c) for c in ("imin", "jmin", "imax", "jmax"))
     )
 
 
