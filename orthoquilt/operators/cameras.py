@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orthoquilt.functions import geometry, linalg
+from orthoquilt.functions import crs, geometry, linalg
 from orthoquilt.functions.linalg import let, vec
 from orthoquilt.relations import checkpointed
 
@@ -40,6 +40,24 @@ def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return wanted.join(present.select(key).distinct(), key, "left_anti")
 
 
+def required(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """wanted, or an error that names some of its keys that are not present."""
+    lost = [r[0] for r in missing(wanted, present, key).select(key).distinct().orderBy(key).limit(5).collect()]
+    if lost:
+        raise ValueError(f"not present: {', '.join(map(str, lost))}")
+    return wanted
+
+
+def lon_lat(cameras: DataFrame, exif: DataFrame, negate: bool = True) -> DataFrame:
+    """camera_id, lon and lat: the camera's own (columns lon, lat, if it has them), else those of its image's EXIF (path, lon, lat), whose degrees have
+    no sign: `negate` takes them as west."""
+    sign = -1 if negate else 1
+    tags = exif.select(F.col("path").alias("image_filename"), (F.col("lon") * sign).alias("__lon"), F.col("lat").alias("__lat"))
+    own = {k: F.col(k) if k in cameras.columns else F.lit(None).cast("double") for k in ("lon", "lat")}
+    joined = cameras.join(tags, "image_filename", "left")
+    return joined.select("camera_id", *(F.coalesce(own[k], F.col(f"__{k}")).alias(k) for k in ("lon", "lat")))
+
+
 def common_root(paths: DataFrame, column: str = "image_filename") -> str:
     """The longest directory that all paths share: agreeing leading segments of the least and the greatest path."""
     low, high = paths.agg(F.min(column), F.max(column)).first()
@@ -85,6 +103,26 @@ def view_angles(direction: Column) -> Column:
     )
 
 
+def locations(cameras: DataFrame, local_to_ecef: Column, epsg: int) -> DataFrame:
+    """camera_id, x, y, z of the cameras in a coordinate system, by way of earth-centred coordinates."""
+    at = let(linalg.named(m=local_to_ecef, p=location(F.col("cam_to_world"))), lambda g: linalg.apply(g["m"], g["p"]))
+    found = cameras.select("camera_id", F.explode(F.array(let(at, lambda p: crs.convert(p, crs.ECEF, epsg)))).alias("p"))
+    return found.select("camera_id", "p.x", "p.y", "p.z")
+
+
+def local_view_angles(cameras: DataFrame, local_to_ecef: Column) -> DataFrame:
+    """camera_id, across and along: the angles between view and nadir in the metric frame (east, north, up) at each camera."""
+    m = let(linalg.named(a=local_to_ecef, b=F.col("cam_to_world")), lambda g: linalg.product(g["a"], g["b"]))
+    posed = cameras.select("camera_id", F.explode(F.array(m)).alias("m"))
+    seen = posed.select("camera_id", F.explode(F.array(linalg.named(d=view_direction(F.col("m")), g=crs.from_ecef(location(F.col("m")))))).alias("v"))
+    lon, lat, d = F.radians("v.g.x"), F.radians("v.g.y"), F.col("v.d")
+    east = vec(-F.sin(lon), F.cos(lon), F.lit(0.0))
+    north = vec(-F.sin(lat) * F.cos(lon), -F.sin(lat) * F.sin(lon), F.cos(lat))
+    up = vec(F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))
+    local = seen.select("camera_id", F.explode(F.array(vec(linalg.dot(d, east), linalg.dot(d, north), linalg.dot(d, up)))).alias("d"))
+    return local.select("camera_id", F.explode(F.array(view_angles(F.col("d")))).alias("a")).select("camera_id", "a.across", "a.along")
+
+
 def project(m_inverse: Column, p: Column, f: Column, cx: Column, cy: Column, width: Column, height: Column) -> Column:
     """World point -> (x, y, depth) in pixels."""
     local = let(linalg.named(m=m_inverse, p=p), lambda g: linalg.apply(g["m"], g["p"]))

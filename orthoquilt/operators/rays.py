@@ -42,23 +42,41 @@ def clip_to_planes(rays: DataFrame, top: float, bottom: float, limit: float | No
     return out if limit is None else out.where(linalg.norm(linalg.sub(F.col("end"), F.col("start"))) <= limit)
 
 
+def cell_sides(rays: DataFrame, threshold: float, in_a_cell: float = 4.0) -> tuple[float, float, float]:
+    """Sides of cells for `edges`, from one row of sums: as long as rays are on average along their main axis, and across it so wide
+    that about `in_a_cell` rays share a cell if they are spread evenly, but at least twice the threshold."""
+    spans = [F.avg(F.abs(F.col(f"end.{k}") - F.col(f"start.{k}"))) for k in "xyz"]
+    bounds = [f(g(f"start.{k}", f"end.{k}")) for k in "xyz" for f, g in ((F.min, F.least), (F.max, F.greatest))]
+    row = rays.agg(F.count("*"), *spans, *bounds).first()
+    least = max(2 * threshold, 1e-9)
+    if not row[0]:
+        return least, least, least
+    mean, width = row[1:4], [row[2 * k + 5] - row[2 * k + 4] for k in range(3)]
+    main = max(range(3), key=lambda k: mean[k])
+    across = [k for k in range(3) if k != main]
+    layers = max(1.0, width[main] / max(mean[main], least))
+    side = max(least, (in_a_cell * layers * max(width[across[0]], least) * max(width[across[1]], least) / row[0]) ** 0.5)
+    return tuple(max(least, mean[k]) if k == main else side for k in range(3))
+
+
 def edges(
-    rays: DataFrame, threshold: float, min_dist: float = 1e-6, transform: Callable[[Column], Column] = lambda d: d, cell: float | None = None
+    rays: DataFrame, threshold: float, min_dist: float = 1e-6, transform: Callable[[Column], Column] = lambda d: d, cell: float | tuple[float, float, float] | None = None
 ) -> DataFrame:
     """src < dst, dist and weight = 1 / transform(dist) of rays of different cameras that come within the threshold.
 
-    Each segment is cut into steps of at most the cell's side and put into the cells of the boxes of its steps, widened by half the
-    threshold: two segments within the threshold share a cell. Candidate pairs are made distinct, then measured exactly.
+    Each segment is cut into steps of at most the cells' sides (`cell_sides` unless given; one number makes cubes) and put into the cells of the boxes of its
+    steps, widened by half the threshold: two segments within the threshold share a cell. Candidate pairs are made distinct, then measured exactly.
     """
-    side = float(cell or max(2 * threshold, 1e-9))
-    length = linalg.norm(linalg.sub(F.col("end"), F.col("start")))
-    steps = F.greatest(F.lit(1), F.ceil(length / side).cast("int"))
+    sides = cell_sides(rays, threshold) if cell is None else cell if isinstance(cell, tuple) else (float(cell),) * 3
+    sides = tuple(max(float(s), 2 * threshold, 1e-9) for s in sides)
+    span = lambda axis: F.abs(F.col(f"end.{axis}") - F.col(f"start.{axis}"))
+    steps = F.greatest(F.lit(1), *(F.ceil(span(axis) / side).cast("int") for axis, side in zip("xyz", sides, strict=True)))
     cut = rays.select("ray_id", "camera_id", "start", "end", F.explode(F.array(steps)).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     near = threshold / 2
-    for axis in "xyz":
+    for axis, side in zip("xyz", sides, strict=True):
         p = lambda k: F.col(f"start.{axis}") + (F.col(f"end.{axis}") - F.col(f"start.{axis}")) * k / F.col("n")  # noqa: E731, B023
         a, b = p(F.col("k")), p(F.col("k") + 1)
-        floor = lambda v: F.floor(v / side).cast("long")
+        floor = lambda v: F.floor(v / side).cast("long")  # noqa: E731, B023
         cut = cut.withColumn(f"c{axis}", F.explode(F.sequence(floor(F.least(a, b) - near), floor(F.greatest(a, b) + near))))
     placed = cut.select("ray_id", "camera_id", "cx", "cy", "cz").distinct()
     other = placed.select(F.col("ray_id").alias("dst"), F.col("camera_id").alias("other"), "cx", "cy", "cz")

@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoquilt.functions import crs
+from orthoquilt.functions import crs, geometry
 from orthoquilt.functions.linalg import let, norm, sub, vec
 from orthoquilt.operators import cameras as cam
-from orthoquilt.operators import correspondence, graph, overlay, raster, rays, spatial, votes
+from orthoquilt.operators import correspondence, graph, metrics, overlay, raster, rays, spatial, votes
 from orthoquilt.sources import rasters
 
 
@@ -71,7 +71,7 @@ def multiview_detections(
         ray = rays.clip_to_surfaces(ray, surface, cell, ray_limit)
     elif ray_limit is not None:
         ray = ray.where(norm(sub(F.col("end"), F.col("start"))) <= ray_limit)
-    edge = rays.edges(ray, threshold, transform=transform, cell=max(cell, 2 * threshold))
+    edge = rays.edges(ray, threshold, transform=transform)
     member = graph.communities(edge, resolution).withColumnRenamed("node", "ray_id")
     point = rays.average_point(ray.join(member, "ray_id"), "community")
     sizes = member.groupBy("community").agg(F.count("*").alias("size"))
@@ -107,6 +107,24 @@ def height_masks(obs: DataFrame, heights: DataFrame, cut: float) -> DataFrame:
     return seen.select("camera_id", "i", "j", spatial.height_class(F.col("height"), cut).alias("height_class"))
 
 
+def confusion_of_layers(truth: DataFrame, prediction: DataFrame, size: float, transform: tuple[float, ...] | None = None, normalise: bool = False) -> DataFrame:
+    """true_label, pred_label and amount of truth polygons (polygon_id, label, geom) against predicted polygons (the same columns; amounts are areas, with
+    what no prediction covers as `unlabelled`) or, with the transform of a raster, cells (row, col, label; amounts are cells whose centres lie in a polygon)."""
+    if transform is not None:
+        a, b, c, d, e, f = transform
+        x, y = F.col("col") + 0.5, F.col("row") + 0.5
+        placed = prediction.select(F.col("label").alias("pred_label"), (a * x + b * y + c).alias("x"), (d * x + e * y + f).alias("y")).where("pred_label is not null")
+        held = spatial.points_in_polygons(placed, truth.select(F.col("label").alias("true_label"), "geom"), size)
+        cf = metrics.confusion(held, "true_label", "pred_label")
+    else:
+        sides = [df.select(F.col("polygon_id").alias(f"{k}_id"), F.col("geom").alias(f"{k}_geom")) for df, k in ((truth, "a"), (prediction, "b"))]
+        met = overlay.overlap_table(*sides, size)
+        met = met.join(truth.select(F.col("polygon_id").alias("a_id"), F.col("label").alias("true_label")), "a_id").join(prediction.select(F.col("polygon_id").alias("b_id"), F.col("label").alias("pred_label")), "b_id")
+        whole = truth.groupBy(F.col("label").alias("true_label")).agg(F.sum(geometry.polygon_area(F.col("geom"))).alias("amount"))
+        cf = metrics.with_unlabelled(met.groupBy("true_label", "pred_label").agg(F.sum("area").alias("amount")), whole)
+    return metrics.normalised(cf) if normalise else cf
+
+
 def chip_raster(
     spark: SparkSession, path: str, folder: str, size: int, stride: int, labels: DataFrame | None = None, roi: DataFrame | None = None, keep_empty: bool = False,
     background: int = 0, suffix: str = ".tif",

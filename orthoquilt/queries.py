@@ -426,7 +426,7 @@ def _ray_pairs(where: str) -> str:
 select a src, b dst, round(greatest(dist, 1e-4), 6) dist, round(1 / greatest(dist, 1e-4), 6) weight from closest where dist <= 0.1""")
 def ray_edges(spark, d):
     """Rays of different cameras that pass within 10 centimetres."""
-    return ray_ops.edges(scene.rays(spark, d), 0.1, 1e-4, cell=5.0).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
+    return ray_ops.edges(scene.rays(spark, d), 0.1, 1e-4).select("src", "dst", F.round("dist", 6).alias("dist"), F.round("weight", 6).alias("weight"))
 
 
 _NORMAL = """n as (select *, (ex - sx) / l dx, (ey - sy) / l dy, (ez - sz) / l dz from (select *, sqrt((ex - sx) * (ex - sx) + (ey - sy) * (ey - sy) + (ez - sz) * (ez - sz)) l from rays)),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orthoquilt.functions import distortion, geometry, polygons
+from orthoquilt.operators import cameras as cam
 from orthoquilt.operators import correspondence, graph, overlay, raster, spatial, textures, warps
 from orthoquilt.plans import workflows
 from orthoquilt.relations import RINGS
@@ -256,3 +257,30 @@ def test_stages_go_on_where_they_stopped(spark, tmp_path):
     (tmp_path / "in" / "a.png").write_bytes(b"abc")
     workflows.saved_images(spark.createDataFrame([(f"{tmp_path}/in/a.png",)], "image_filename string"), f"file://{tmp_path}/out")
     assert [p.read_bytes() for p in (tmp_path / "out").rglob("a.png")] == [b"abc"]
+
+
+def test_cameras_on_the_globe(spark):
+    pose = lambda x, y, z: [1.0, 0.0, 0.0, float(x), 0.0, -1.0, 0.0, float(y), 0.0, 0.0, -1.0, float(z), 0.0, 0.0, 0.0, 1.0]
+    cams = spark.createDataFrame([(1, "a", pose(0, 0, 100), 5.0, None), (2, "b", pose(30, 0, 100), None, None)], "camera_id long, image_filename string, cam_to_world array<double>, lon double, lat double")
+    exif = spark.createDataFrame([("a", 7.0, 44.0), ("b", 8.0, 45.0)], "path string, lon double, lat double")
+    assert {tuple(r) for r in cam.lon_lat(cams, exif).collect()} == {(1, 5.0, 44.0), (2, -8.0, 45.0)}
+    # a local frame at longitude 0, latitude 0: x east, y north, z up
+    a = 6378137.0
+    local = F.array(*map(F.lit, (0.0, 0.0, 1.0, a, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)))
+    got = {r["camera_id"]: r for r in cam.locations(cams, local, 4979).collect()}
+    assert abs(got[1]["x"]) < 1e-9 and abs(got[1]["y"]) < 1e-9 and abs(got[1]["z"] - 100) < 1e-3 and abs(got[2]["x"] - math.degrees(30 / (a + 100))) < 1e-9
+    for r in cam.local_view_angles(cams, local).collect():
+        assert abs(r["across"]) < 1e-3 and abs(r["along"]) < 1e-3
+    assert cam.required(cams, exif.withColumnRenamed("path", "image_filename"), "image_filename").count() == 2
+    with pytest.raises(ValueError, match="b"):
+        cam.required(cams, exif.where("path = 'a'").withColumnRenamed("path", "image_filename"), "image_filename")
+
+
+def test_confusion_of_layers(spark):
+    layer = lambda rows: spark.createDataFrame([(k, n, [ring(r)]) for k, n, r in rows], f"polygon_id long, label string, geom {RINGS}")
+    truth = layer([(1, "a", SQUARE), (2, "b", [(x + 10, y) for x, y in SQUARE])])
+    found = {(r["true_label"], r["pred_label"]): round(r["amount"], 9) for r in workflows.confusion_of_layers(truth, layer([(1, "a", L), (2, "b", [(9, 0), (12, 0), (12, 4), (9, 4)])]), 3.0).collect()}
+    assert found == {("a", "a"): 7.0, ("b", "b"): 8.0, ("a", "unlabelled"): 9.0, ("b", "unlabelled"): 8.0}
+    cells = spark.createDataFrame([(i, j, "a" if j < 2 else "b") for i in range(4) for j in range(14)], "row long, col long, label string")
+    found = {(r["true_label"], r["pred_label"]): (r["amount"], r["frac"]) for r in workflows.confusion_of_layers(truth, cells, 3.0, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), True).collect()}
+    assert found == {("a", "a"): (8, 0.5), ("a", "b"): (8, 0.5), ("b", "b"): (16, 1.0)}
