@@ -161,7 +161,7 @@ def test_graph_queries_take_all_links(spark, sf):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     want = {x: find(x) for x in root}
-    assert {r["node"]: r["component"] for r in QUERIES["connected_rays_all"](spark, sf).collect()} == want
+    assert {r["node"]: r["component"] for r in QUERIES["connected_rays"](spark, sf).collect()} == want
     assert {r["node"] for r in QUERIES["communities"](spark, sf).collect()} == set(want)
 
 
@@ -264,7 +264,7 @@ def test_nearest_and_surfaces(spark):
     rng = np.random.default_rng(2)
     p, t = rng.uniform(0, 3, (60, 3)), rng.uniform(0, 3, (80, 3))
     df = lambda a, name: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], f"{name} long, x double, y double, z double")
-    got = {r["point_id"]: r["target_id"] for r in spatial.nearest(df(p, "point_id"), df(t, "target_id"), 0.8).collect()}
+    got = {r["point_id"]: r["target_id"] for r in spatial.nearest(df(p, "point_id"), df(t, "target_id"), 0.8, limit=0.8).collect()}
     d = np.sqrt(((p[:, None] - t[None]) ** 2).sum(-1))
     assert got == {i: int(d[i].argmin()) for i in range(60) if d[i].min() <= 0.8}
     grid = spark.createDataFrame([(i, (i % 10) / 9, i // 10 / 9, float(rng.normal())) for i in range(100)], "vertex_id long, x double, y double, z double")
