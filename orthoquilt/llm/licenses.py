@@ -8,7 +8,9 @@ weighs more than an unknown one), so all others are left out at once, exactly.
 Full licence texts (`licence_texts`) and headers of several lines (`HEADERS`) are templates of their own, with their own weights. The
 whole file, and sliding runs of its lines and of its sentences, are compared with them in the same way. A file holds a run that reaches
 `LIKE` only if its terms hold `LIKE` squared of the weight of a template, so all other files are left out at once, exactly.
-Runs have the lengths of `RUNS`, the same from each line or sentence on.
+Runs have the lengths of `RUNS`, the same from each line or sentence on. A run that reaches `LIKE` holds a telling term of a template (those without which
+its other terms weigh too little), so runs without one are not looked at; lines and sentences that deny a licence are no part of runs.
+Vectors are sparse and binary in the term counts: licences differ in which terms they have, not in how often they say "the".
 
 A file's own licence is that of the full text that it matches as a whole; else its SPDX tag (an expression is kept as it stands); else that of
 its best line or run. A file that matches a full text, or of which matching lines hold at least half of the terms, is a licence
@@ -26,6 +28,7 @@ import math
 import re
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,9 @@ NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
@@ -73,6 +78,8 @@ HEADERS = (
 #: How many lines or sentences a run has.
 RUNS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 _SPDX = r"SPDX-License-Identifier:[ \t]*([(A-Za-z0-9][A-Za-z0-9.+() -]*[A-Za-z0-9.+)])"
+#: A line or sentence with this in its terms says that something does not fall under a licence.
+_DENIED = r"\b(not|never|no longer)( be| been)? (licensed|released|governed|distributed|covered|available|subject)\b"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TERM = "[a-z0-9]+"
 
@@ -85,28 +92,52 @@ def weights(notices=NOTICES) -> tuple[dict[str, float], float, list[tuple[str, l
     return known, square(0), [(name, own, sum(known[t] for t in own)) for name, own in terms]
 
 
+def telling(rows: list[tuple[str, list[str], float]], known: dict[str, float], like: float) -> list[str]:
+    """The fewest heaviest terms of each template without which `like` cannot be reached: the others weigh under `like` squared of it."""
+    found: set[str] = set()
+    for _, own, size in rows:
+        rest = size
+        for t in sorted(own, key=lambda t: (-known[t] * len(t), t)):  # long words are rare in other texts
+            if rest < like * like * size * (1 - 1e-9):
+                break
+            found.add(t)
+            rest -= known[t]
+    return sorted(found)
+
+
+def among(value: Column, terms: list[str]) -> Column:
+    """Whether value is one of the terms; `isin`, with one call to the JVM instead of one for each of thousands of terms."""
+    jvm = SparkContext._active_spark_context._jvm
+    words = jvm.java.util.Collections.list(jvm.java.util.StringTokenizer(" ".join(terms)))
+    return type(value)(value._jc.isInCollection(words))
+
+
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(_TERM), F.lit(0))
 
 
+def denied(terms: Column) -> Column:
+    return F.exists(terms, lambda t: t.isin("not", "never", "longer")) & F.array_join(terms, " ").rlike(_DENIED)
+
+
 def with_templates(df: DataFrame, text: str, lines: str, like: float = LIKE) -> DataFrame:
     """df with __full and __run: (cosine, k, licence) of the best full text for the whole file, and of the best template for a run; null below `like`."""
     columns = df.columns
     known, unknown, rows = weights(FULL + NOTICES + HEADERS)
     classes = [(w, [t for t in known if known[t] == w]) for w in sorted(set(known.values()))]
-    held = lambda terms: F.array_distinct(F.filter(terms, lambda t: t.isin(list(known))))
+    held = lambda terms: F.array_distinct(F.filter(terms, lambda t: among(t, list(known))))
 
     def weighed(hits: Column) -> Column:
         def one(t: Column) -> Column:
             s = F.lit(unknown)
             for w, terms in classes:
-                s = F.when(t.isin(terms), w).otherwise(s)
+                s = F.when(among(t, terms), w).otherwise(s)
             return F.struct(t.alias("t"), s.alias("s"))
 
         return F.transform(hits, one)
 
     total = lambda hits: F.aggregate(hits, F.lit(0.0), lambda a, x: a + x["s"])
-    dot = lambda hits, own: total(F.filter(hits, lambda x: x["t"].isin(own)))
+    dot = lambda hits, own: total(F.filter(hits, lambda x: among(x["t"], own)))
 
     def best(x: Column, first: int, last: int) -> Column:
         """x: (h, n), the weighed known terms and the number of all distinct terms."""
@@ -119,28 +150,42 @@ def with_templates(df: DataFrame, text: str, lines: str, like: float = LIKE) ->
 
     bound = like * like
     heaviest = max(known.values())
+    full, small = rows[: len(FULL)], rows[len(FULL) :]
+    telling_small, telling_full = telling(small, known, like), telling(full, known, like)
     reach = lambda hits: [
         F.when(F.size(hits) * heaviest < bound * size, False).otherwise(dot(hits, own) >= bound * size) for _, own, size in rows
     ]
     some = lambda tests: F.exists(F.array(*tests), lambda x: x)
     summary = lambda d: F.struct(weighed(held(d)).alias("h"), F.size(d).alias("n"))
     out = let(df, "__h", held(F.flatten(lines)))
-    out = let(out, "__w", F.when(F.size("__h") * unknown >= bound * min(size for *_, size in rows), weighed(F.col("__h"))))
-    out = let(out, "__g", F.when(F.col("__w").isNull(), False).otherwise(some(reach(F.col("__w")))))
+    # most files hold neither a telling term of a short template nor enough terms of a full text
+    hopeful = F.exists("__h", lambda t: among(t, telling_small)) | (F.size("__h") * heaviest >= bound * min(size for *_, size in full))
+    out = let(out, "__w", F.when(hopeful, weighed(F.col("__h"))))
+    tests = reach(F.col("__w"))
+    out = let(out, "__v", F.when(F.col("__w").isNull(), False).otherwise(some(tests[: len(FULL)])))
+    out = let(out, "__g", F.when(F.col("__w").isNull(), False).otherwise(F.col("__v") | some(tests[len(FULL) :])))
     whole = F.struct(F.col("__w").alias("h"), F.size(F.array_distinct(F.flatten(lines))).alias("n"))
     out = let(out, "__f", F.when(F.col("__g"), F.transform(F.array(whole), lambda x: best(x, 0, len(FULL)))[0]))
 
     def runs(units: Column) -> Column:
-        near = lambda d: F.size(held(d)) >= bound * F.size(d)
-        of = lambda k: F.filter(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(units) - (k - 1))), lambda s: F.array_distinct(F.flatten(F.slice(units, s, F.lit(k))))),
-            lambda d: (F.size(d) > 0) & near(d),
+        """The best of all runs. Lengths are a lambda's variable and what is used twice is bound by one, so the long lists of terms stand here once."""
+        telling_at = F.filter(
+            F.transform(units, lambda u, i: F.when(F.exists(u, lambda t: among(t, telling_small) | (F.col("__v") & among(t, telling_full))), i + 1)), F.isnotnull
+        )
+        last = lambda k: F.greatest(F.lit(1), F.size(units) - k + 1)
+        # a run without a telling term reaches nothing, so runs begin where one is at hand
+        begins = lambda at, k: F.array_distinct(
+            F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(1), F.least(p - k + 1, last(k))), F.least(p, last(k)))))
+        )
+        of = lambda at, k: F.filter(
+            F.transform(F.transform(begins(at, k), lambda s: F.array_distinct(F.flatten(F.slice(units, s, k)))), summary),
+            lambda x: (x["n"] > 0) & (F.size(x["h"]) >= bound * x["n"]),
         )
-        found = F.transform(F.concat(*(of(k) for k in RUNS)), summary)
+        found = F.transform(F.array(telling_at), lambda at: F.flatten(F.transform(F.array(*map(F.lit, RUNS)), lambda k: of(at, k))))[0]
         return F.array_max(F.transform(found, lambda x: best(x, 0, len(rows))))
 
     sentences = F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[.!?;:]) "), _terms)
-    full_of = lambda units: F.filter(units, lambda x: F.size(x) > 0)
+    full_of = lambda units: F.filter(units, lambda x: (F.size(x) > 0) & ~denied(x))
     out = let(out, "__u", F.when(F.col("__g"), F.array(full_of(F.col(lines)), full_of(sentences))))
     out = let(out, "__r", F.when(F.col("__g"), F.array_max(F.transform("__u", runs))))
     enough = lambda c: F.when(F.col(c)["cosine"] >= like, F.col(c))
@@ -155,8 +200,8 @@ def with_own(df: DataFrame, text: str = "text", like: float = LIKE, notices=NOTI
     out = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     out = let(out, "__l", F.transform(F.split("__t", "\n"), _terms))
     out = let(out, "__n", F.aggregate("__l", F.lit(0), lambda a, x: a + F.size(x)))
-    hit = lambda own: F.size(F.filter(own, lambda t: t.isin(vocabulary)))
-    near = F.filter("__l", lambda x: (F.size(x) > 0) & (hit(F.array_distinct(x)) >= F.lit(like * like) * F.size(F.array_distinct(x))))
+    hit = lambda own: F.size(F.filter(own, lambda t: among(t, vocabulary)))
+    near = F.filter("__l", lambda x: (F.size(x) > 0) & (hit(F.array_distinct(x)) >= F.lit(like * like) * F.size(F.array_distinct(x))) & ~denied(x))
     out = let(out, "__c", F.transform(near, lambda x: F.struct(F.array_distinct(x).alias("d"), F.size(x).alias("n"))))
     table_of = F.create_map(*(x for t, w in known.items() for x in (F.lit(t), F.lit(w))))
     weigh = lambda own: F.aggregate(own, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table_of, t), F.lit(unknown)))
@@ -237,7 +282,8 @@ with files as (select row_number() over () r, doc_id, concat_ws('/', coalesce(so
 lines as (select r, unnest(string_split(t, chr(10))) line from files),
 terms as (select row_number() over () i, r, regexp_extract_all(translate(line, '{_UPPER}', '{_LOWER}'), '{_TERM}') w from lines),
 total as (select r, sum(len(w)) n from terms group by r),
-near as (select i, r, len(w) n, list_distinct(w) d from terms where len(w) > 0 and len(list_intersect(w, [{words}])) >= {LIKE * LIKE!r} * len(list_distinct(w))),
+near as (select i, r, len(w) n, list_distinct(w) d from terms where len(w) > 0 and len(list_intersect(w, [{words}])) >= {LIKE * LIKE!r} * len(list_distinct(w))
+  and not regexp_matches(array_to_string(w, ' '), '{_DENIED}')),
 known(t, s) as (values {cells}),
 notice(k, licence, t, length) as (values {notices}),
 spread as (select i, r, n, unnest(d) t from near),

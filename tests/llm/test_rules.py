@@ -289,10 +289,16 @@ def test_full_texts_headers_and_tags(spark):
         ("x/tag.c", "/* SPDX-License-Identifier: GPL-2.0-only */\n" + code),
         ("x/two.c", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\n" + code),
         ("x/none.py", code),
+        ("x/gpl2.py", "This work is licensed under the GNU General Public License, version 2.\n" + code),
+        ("x/gpl3.py", "# This work is licensed under the GNU General Public License, version 3\n" + code),
+        ("x/lgpl.c", "This library is licensed under the GNU Lesser General Public License, version 2.1.\n" + code),
+        ("x/denied.py", "This work is not licensed under the GNU General Public License, version 3.\n" + code),
+        ("x/late.py", code + "\n" + header + "\n" + code),
     ]
     found = {r["path"]: r for r in licenses.inherited(licenses.with_own(spark.createDataFrame(rows, "path string, text string"))).collect()}
     for name in texts:
         assert found[f"{name}/LICENSE"]["licence"] == name
         assert tuple(found[f"{name}/src/deep/a.py"][k] for k in ("licence", "origin", "origin_dir")) == (name, "inherited", name)
     own = {p: r["licence"] for p, r in found.items() if p.startswith("x/")}
-    assert own == {"x/header.py": "Apache-2.0", "x/inline.py": "MIT", "x/tag.c": "GPL-2.0", "x/two.c": "(MIT OR Apache-2.0)", "x/none.py": None}
+    assert own == {"x/header.py": "Apache-2.0", "x/inline.py": "MIT", "x/tag.c": "GPL-2.0", "x/two.c": "(MIT OR Apache-2.0)", "x/none.py": None} | {
+        "x/gpl2.py": "GPL-2.0", "x/gpl3.py": "GPL-3.0", "x/lgpl.c": "LGPL-2.1", "x/denied.py": None, "x/late.py": "Apache-2.0"}
