@@ -33,3 +33,16 @@ def test_the_library_does_not_import_the_training_data_operators():
 @pytest.mark.parametrize("name", ["kmeans_chunks"])
 def test_rows_only(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def steep_parts(spark, path) -> str:
+    """A camera and two triangles whose shared edge goes through a pixel's centre, at a depth that is a half in the tenth decimal."""
+    spark.createDataFrame([(40, "s", 8623.05)], "s_suppkey long, s_name string, s_acctbal double").write.parquet(f"{path}/supplier.parquet")
+    parts = [(3, 37, "b"), (4, 2, "b"), (53, 6, "b"), (54, 45, "b")]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_depths_are_rounded_as_in_sql(spark, tmp_path):
+    d = steep_parts(spark, tmp_path)
+    assert_same(QUERIES["zbuffer_raster"](spark, d), connect(d), ORACLE_SQL["zbuffer_raster"])
