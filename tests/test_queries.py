@@ -46,3 +46,8 @@ def steep_parts(spark, path) -> str:
 def test_depths_are_rounded_as_in_sql(spark, tmp_path):
     d = steep_parts(spark, tmp_path)
     assert_same(QUERIES["zbuffer_raster"](spark, d), connect(d), ORACLE_SQL["zbuffer_raster"])
+
+
+def test_pixels_of_a_class_are_those_of_sql(spark, tmp_path):
+    d = steep_parts(spark, tmp_path)
+    assert_same(QUERIES["rendered_labels"](spark, d), connect(d), ORACLE_SQL["rendered_labels"])
