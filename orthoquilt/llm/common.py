@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +100,13 @@ def fold(column, of: int):
     return F.pmod(F.crc32(F.encode(column.cast("string"), "UTF-8")), F.lit(of))
 
 
+def give_back() -> None:
+    """Hand what this process has freed back to the system; Arrow's pool and the C heap would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def one_thread() -> None:
     """Keep libraries from starting threads inside a Python worker."""
     for name in ("RAYON_NUM_THREADS", "OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):

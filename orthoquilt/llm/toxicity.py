@@ -24,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orthoquilt.llm.common import fold, small_batches, stored, table
+from orthoquilt.llm.common import fold, give_back, small_batches, stored, table
 
 #: Labelled texts of each label that the model is fitted on, at most (about: they are drawn by hash).
 SAMPLE = 3000
@@ -107,33 +108,47 @@ def sentences(text: str | None) -> list[list[str]]:
     return [x for x in found if x]
 
 
+def distinct(high: np.ndarray, base: int, low: np.ndarray) -> np.ndarray:
+    """The distinct values of high * base + low in order, sorted in place."""
+    key = high.astype(np.int64)
+    key *= base
+    key += low
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+
+
 def fit(bags: pa.Array, label: np.ndarray, importance: np.ndarray) -> Model:
     """A model of texts given as lists of sentences of distinct words."""
     sentences = bags.flatten()
-    texts = len(bags)
-    text_of = np.repeat(np.arange(texts), bags.value_lengths().fill_null(0).to_numpy())
-    sentence_of = np.repeat(np.arange(len(sentences)), sentences.value_lengths().to_numpy())
+    texts, many = len(bags), max(1, len(sentences))
+    text_of = np.repeat(np.arange(texts, dtype=np.int32), bags.value_lengths().fill_null(0).to_numpy())
+    sentence_of = np.repeat(np.arange(len(sentences), dtype=np.int32), sentences.value_lengths().to_numpy())
     coded = sentences.flatten().dictionary_encode()
-    word, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    word, words = coded.indices.to_numpy(), coded.dictionary
+    del bags, sentences, coded
     toxic = label == 1
     rate = (importance * toxic).sum() / importance.sum()
     names: list[str] = []
     pairs: list[np.ndarray] = []  # (feature, sentence) of the features chosen, as one number
     for k in (0, *BEGINNINGS):  # words, then beginnings of each length
-        kind = pa.array([w if not k else f"{w[:k]}*" if len(w) >= k else None for w in words], pa.string()).dictionary_encode()
-        of_word = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        begun = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, k), "*", "") if k else words
+        kind = (pc.if_else(pc.greater_equal(pc.utf8_length(words), k), begun, None) if k else words).dictionary_encode()
+        of_word = kind.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
         own = of_word[word]
-        has = own >= 0
-        within, of_text = np.divmod(np.unique(own[has] * texts + text_of[sentence_of[has]]), texts)
+        at = sentence_of[own >= 0]
+        own = own[own >= 0]
+        within, of_text = np.divmod(distinct(own, texts, text_of[at]), texts)
         size = len(kind.dictionary)
         every = np.bincount(within, importance[of_text], minlength=size)
         bad = np.bincount(within, (importance * toxic)[of_text], minlength=size)
         chosen = (np.bincount(within, minlength=size) >= LEAST_TEXTS) & (bad >= min(LIFT * rate, (1 + rate) / 2) * every)
-        use = has & chosen[own]
+        del within, of_text
+        use = chosen[own]
         number = np.cumsum(chosen) - 1 + len(names)
-        pairs.append(np.unique(number[own[use]] * max(1, len(sentences)) + sentence_of[use]))
-        names += [n for n, c in zip(kind.dictionary.to_pylist(), chosen, strict=True) if c]
-    feature, sentence_of = np.divmod(np.concatenate(pairs), max(1, len(sentences)))
+        pairs.append(distinct(number[own[use]], many, at[use]))
+        names += kind.dictionary.filter(pa.array(chosen)).to_pylist()
+    del word, words, own, at, use
+    feature, sentence_of = np.divmod(np.concatenate(pairs), many)
     # sentences without a feature add nothing
     own, sentence_of = np.unique(sentence_of, return_inverse=True)
     text_of, n = text_of[own], len(own)
@@ -181,13 +196,22 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             upto[k] = h + 1
         seen[k] += size  # once full, no later text gets in
     mine = F.when(F.col("toxic") == 1, F.col("h") < upto[1]).otherwise(F.col("h") < upto[0])
-    got = bags.where(mine).select("doc_id", "bag", "toxic").toArrow().sort_by("doc_id").combine_chunks()
+    share = {k: min(part[k], upto[k] / (1 << 30)) for k in (0, 1)}  # hashes are even
+    model = fitted(bags.where(mine).select("doc_id", "bag", "toxic").toArrow(), share)
+    give_back()
+    return model
+
+
+def fitted(got: pa.Table, share: dict[int, float]) -> Model:
+    """The model of the rows (doc_id, bag, toxic) of a sample that holds such a share of each label."""
+    got = got.sort_by("doc_id")
     label = got["toxic"].to_numpy()
     if len(set(label.tolist()) & {0, 1}) < 2:
-        return nothing
-    lists = got["bag"].chunk(0) if isinstance(got["bag"], pa.ChunkedArray) else got["bag"]
-    share = {k: min(part[k], upto[k] / (1 << 30)) for k in (0, 1)}  # hashes are even
-    return fit(lists, label, np.where(label == 1, 1 / share[1], 1 / share[0]))
+        return Model({})
+    bags = [got["bag"].combine_chunks()]
+    del got
+    # handed over, so the words go once they are numbered
+    return fit(bags.pop(), label, np.where(label == 1, 1 / share[1], 1 / share[0]))
 
 
 OFFENCES = "array<struct<begin: int, end: int, score: double>>"

@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from test_tokenising import check_packing
 
 from orthoquilt.llm import quality_classifier, quality_rules, simhash, toxicity
@@ -172,3 +173,39 @@ def test_pipeline(spark, sf):
     library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
     raw = {d: np.array([*library.encode(rows[d] or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for d in ids(third)}
     check_packing(pieces.collect(), {(d, len(b) // 4): b for d, b in raw.items()})
+
+
+LEAN = """
+import random, re
+import numpy as np, pyarrow as pa
+from orthoquilt.llm import toxicity
+r = random.Random(3)
+words = [f"word{i * 7919}" for i in range(60_000)]
+def bag(k):
+    return [[r.choice(words) for _ in range(12)] + (["vile"] if k % 2 and x == 0 else []) for x in range(40)]
+bags = [pa.concat_arrays([pa.array([bag(k) for k in range(n, n + 100)], pa.list_(pa.list_(pa.string()))) for n in range(0, 3000, 100)])]
+label = np.arange(3000) % 2
+size = bags[0].nbytes
+held = lambda what: int(re.search(what + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) * 1024
+open("/proc/self/clear_refs", "w").write("5")
+before = held("VmRSS")
+model = toxicity.fit(bags.pop(), label, np.ones(3000))
+assert model.weight["vile"] > 1
+print((held("VmHWM") - before) / size)
+"""
+
+
+def test_the_fit_takes_little_of_the_drivers_memory():
+    import os
+    import subprocess
+    import sys
+
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", LEAN], cwd=top, env=os.environ | {"PYTHONPATH": top}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert float(done.stdout) < 4, done.stdout  # times the sample's own bytes
+
+
+def test_a_fit_without_words():
+    bags = pa.array([[], []], pa.list_(pa.list_(pa.string())))
+    assert toxicity.fit(bags, np.array([0, 1]), np.ones(2)).weight == {}
