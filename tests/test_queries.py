@@ -51,3 +51,9 @@ def test_depths_are_rounded_as_in_sql(spark, tmp_path):
 def test_pixels_of_a_class_are_those_of_sql(spark, tmp_path):
     d = steep_parts(spark, tmp_path)
     assert_same(QUERIES["rendered_labels"](spark, d), connect(d), ORACLE_SQL["rendered_labels"])
+
+
+def test_a_part_that_is_there_twice_does_not_count_its_pixels_twice(spark, tmp_path):
+    d = steep_parts(spark, tmp_path)
+    spark.createDataFrame([(3, 37, "b")], "p_partkey long, p_size int, p_brand string").coalesce(1).write.mode("append").parquet(f"{d}/part.parquet")
+    assert_same(QUERIES["rendered_labels"](spark, d), connect(d), ORACLE_SQL["rendered_labels"])
