@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from orthoquilt.functions.linalg import add, cross, dot, let, named, norm, scaled, sub, unit
 
 
+#: Square of the sine of the angle up to which segments count as parallel: below it the crossing of their lines is noise of their coordinates.
+PARALLEL = 1e-18
+
+
 def area_3d(a: Column, b: Column, c: Column) -> Column:
     return norm(cross(sub(b, a), sub(c, a))) / 2
 
@@ -115,7 +119,7 @@ def box(x0, y0, x1, y1) -> Column:
 def closest_points(a0: Column, a1: Column, b0: Column, b1: Column, clamp: bool = True) -> Column:
     """(pa, pb, dist) of the closest approach of two segments, or of their lines without `clamp`. Null for a segment without length.
 
-    Of parallel segments that overlap only the distance is meaningful.
+    Of parallel segments that overlap only the distance is meaningful; the points are at the nearest of a0, a1, b0 and b1, the first of those on a tie.
     """
     limit = lambda x, top: F.least(top, F.greatest(F.lit(0.0), x))
 
@@ -137,28 +141,25 @@ def closest_points(a0: Column, a1: Column, b0: Column, b1: Column, clamp: bool =
         return let(at(g), clamped)
 
     def parallel(g: Column) -> Column:
-        a0, b0, u, la = g["a0"], g["b0"], g["u"], g["la"]
+        a0, b0, u = g["a0"], g["b0"], g["u"]
         if not clamp:
             return named(pa=add(a0, scaled(u, dot(u, sub(b0, a0)))), pb=b0)
 
         def ends(d: Column) -> Column:
-            nearer = F.when(F.abs(d["d0"]) < F.abs(d["d1"]), b0).otherwise(g["b1"])
-            beside = lambda foot: let(
-                sub(b0, foot), lambda gap: named(pa=foot, pb=add(foot, sub(gap, scaled(u, dot(gap, u)))))
-            )
-            return (
-                F.when((d["d0"] <= 0) & (d["d1"] <= 0), named(pa=a0, pb=nearer))
-                .when((d["d0"] >= la) & (d["d1"] >= la), named(pa=g["a1"], pb=nearer))
-                .otherwise(let(add(a0, scaled(u, limit(d["d0"], la))), beside))
-            )
+            share = lambda x: limit(x, F.lit(1.0))
+            one, aa, bb, ab, at, bt = F.lit(1.0), d["aa"], d["bb"], d["ab"], d["at"], d["bt"]
+            places = ((one * 0, share(-bt / bb)), (one, share((ab - bt) / bb)), (share(at / aa), one * 0), (share((at + ab) / aa), one))
+            found = [let(named(pa=add(a0, scaled(g["a"], s)), pb=add(b0, scaled(g["b"], t))), lambda p: named(
+                dist=norm(sub(p["pa"], p["pb"])), k=F.lit(k), pa=p["pa"], pb=p["pb"])) for k, (s, t) in enumerate(places)]  # fmt: skip # noqa: B023
+            return let(F.array_min(F.array(*found)), lambda m: named(pa=m["pa"], pb=m["pb"]))
 
-        return let(named(d0=dot(u, sub(b0, a0)), d1=dot(u, sub(g["b1"], a0))), ends)
+        return let(named(aa=dot(g["a"], g["a"]), bb=dot(g["b"], g["b"]), ab=dot(g["a"], g["b"]), at=dot(g["a"], g["t"]), bt=dot(g["b"], g["t"])), ends)
 
     ends = let(named(a=sub(a1, a0), b=sub(b1, b0)), lambda d: named(
-        a0=a0, a1=a1, b0=b0, b1=b1, u=unit(d["a"]), v=unit(d["b"]), la=norm(d["a"]), lb=norm(d["b"]), t=sub(b0, a0)))
+        a0=a0, b0=b0, a=d["a"], b=d["b"], u=unit(d["a"]), v=unit(d["b"]), la=norm(d["a"]), lb=norm(d["b"]), t=sub(b0, a0)))
     crossed = let(ends, lambda g: g.withField("c", cross(g["u"], g["v"])))
     ready = let(crossed, lambda g: g.withField("den", dot(g["c"], g["c"])))
-    points = let(ready, lambda g: F.when(g["den"] > 0, crossing(g)).when(g["den"] == 0, parallel(g)))
+    points = let(ready, lambda g: F.when(g["den"] > PARALLEL, crossing(g)).when(g["den"] <= PARALLEL, parallel(g)))
     return let(points, lambda p: F.when(p.isNotNull(), named(pa=p["pa"], pb=p["pb"], dist=norm(sub(p["pa"], p["pb"])))))
 
 

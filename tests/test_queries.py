@@ -57,3 +57,10 @@ def test_a_part_that_is_there_twice_does_not_count_its_pixels_twice(spark, tmp_p
     d = steep_parts(spark, tmp_path)
     spark.createDataFrame([(3, 37, "b")], "p_partkey long, p_size int, p_brand string").coalesce(1).write.mode("append").parquet(f"{d}/part.parquet")
     assert_same(QUERIES["rendered_labels"](spark, d), connect(d), ORACLE_SQL["rendered_labels"])
+
+
+def test_closest_points_of_parallel_rays_are_those_of_sql(spark, tmp_path):
+    """Two rays of a group are parallel and overlap, so both ends of the overlap are as near."""
+    events = [(97872, 1, 6.27), (97875, 2, 6.27), (97873, 3, 80.0), (8608, 1, 4.58), (8611, 1, 4.58)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert_same(QUERIES["ray_point_average"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["ray_point_average"])
