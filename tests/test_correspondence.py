@@ -89,3 +89,11 @@ def test_cameras_and_faces_that_are_there_twice(spark):
     assert len(got) == 100 and {r["face_id"] for r in got} == {2}
     assert correspondence.visible_faces(cams, mesh.where("false"), 1.0, None, 4.0).count() == 0
     assert correspondence.visible_faces(cams.where("false"), mesh, 1.0, None, 4.0).count() == 0
+
+
+def test_pixels_made_by_an_explode_are_not_broadcast(spark):
+    pixels = spark.range(3).select(F.col("id").alias("camera_id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("class_id", F.lit(1))
+    obs = pixels.select("camera_id", "i", "j", F.lit(5).alias("face_id"))
+    lens = spark.createDataFrame([(0, {"k1": 0.0}, 10.0, 0.0, 0.0, 20, 20)], "camera_id long, distortion map<string,double>, f double, cx double, cy double, image_width int, image_height int")
+    for df in (correspondence.projected(obs, pixels), correspondence.through_lens(obs, lens, 0.5)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
