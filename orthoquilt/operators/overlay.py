@@ -203,12 +203,14 @@ def face_shares(faces: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     return met.join(whole, "b_id").select(F.col("a_id").alias("polygon_id"), F.col("b_id").alias("face_id"), (F.col("area") / F.col("whole")).alias("share"))
 
 
-def boundary_edges(faces: DataFrame) -> DataFrame:
+def boundary_edges(faces: DataFrame, parts: int | None = None) -> DataFrame:
     """class_id, v, w (v < w) of faces (face_id, v0, v1, v2, class_id): edges that one face of the class has only. They outline the
-    dissolved class."""
+    dissolved class. The edges are counted in `parts` tasks if that is given: few edges come twice, so a task holds nearly all of its own."""
     pair = lambda a, b: F.struct(F.least(a, b).alias("v"), F.greatest(a, b).alias("w"))
-    each = faces.where("class_id is not null").select("class_id", F.explode(F.array(pair("v0", "v1"), pair("v1", "v2"), pair("v2", "v0"))).alias("e"))
-    return each.groupBy("class_id", "e").agg(F.count("*").alias("n")).where("n = 1").select("class_id", "e.v", "e.w")
+    each = faces.where("class_id is not null").select("class_id", F.explode(F.array(pair("v0", "v1"), pair("v1", "v2"), pair("v2", "v0"))).alias("e")).select("class_id", "e.v", "e.w")
+    if parts is not None:
+        each = each.repartition(parts, "class_id", "v", "w")
+    return each.groupBy("class_id", "v", "w").agg(F.count("*").alias("n")).where("n = 1").select("class_id", "v", "w")
 
 
 def walk(v: list[int], w: list[int]) -> list[list[int]]:

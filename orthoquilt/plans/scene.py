@@ -32,6 +32,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df dealt over a task for each so many rows. A table that compresses well is one small file, and a single task would do all that is asked of it."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def obs(spark: SparkSession, d: str) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, d, "lineitem").select(
@@ -87,16 +92,21 @@ def rays(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(k.alias("ray_id"), F.col("user_id").alias("camera_id"), start.alias("start"), end.alias("end"))
 
 
-def grid_mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, faces) of two triangles for each unit square between neighbouring parts."""
+def squares(spark: SparkSession, d: str) -> DataFrame:
+    """The parts, as faces, that have a unit square between them and their neighbours."""
     p = faces(spark, d)
-    vertices = p.select(F.col("face_id").alias("vertex_id"), "x", "y", "z")
     last = p.agg(F.max("face_id")).first()[0]
     k = F.col("face_id")
-    squares = p.where((k % 50 < 49) & (k + 51 <= (last or 0)))
+    return p.where((k % 50 < 49) & (k + 51 <= (last or 0)))
+
+
+def grid_mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, faces) of two triangles for each unit square between neighbouring parts."""
+    vertices = faces(spark, d).select(F.col("face_id").alias("vertex_id"), "x", "y", "z")
+    k = F.col("face_id")
     tri = F.array(F.struct((2 * k).alias("face_id"), k.alias("v0"), (k + 1).alias("v1"), (k + 50).alias("v2")), F.struct((2 * k + 1).alias("face_id"), (k + 1).alias("v0"), (k + 51).alias("v1"), (k + 50).alias("v2")))
     brand = F.pmod(F.crc32(F.encode("brand", "UTF-8")), F.lit(3)).cast("long").alias("class_id")
-    return vertices, squares.select(F.explode(tri).alias("t"), brand).select("t.*", "class_id")
+    return vertices, squares(spark, d).select(F.explode(tri).alias("t"), brand).select("t.*", "class_id")
 
 
 def mesh_corners(vertices: DataFrame, tri: DataFrame) -> DataFrame:

@@ -754,10 +754,11 @@ def kmeans_chunks(spark, d):
 e as (select class_id, least(v0, v1) v, greatest(v0, v1) w from f union all select class_id, least(v1, v2), greatest(v1, v2) from f union all select class_id, least(v2, v0), greatest(v2, v0) from f)
 select class_id, v, w from e group by all having count(*) = 1""")
 def boundary_edges(spark, d):
-    _, tri = scene.grid_mesh(spark, d)
-    brand = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("class_id"))
-    named = tri.drop("class_id").withColumn("k", F.floor(F.col("face_id") / 2)).join(brand, "k")
-    return overlay.boundary_edges(named)
+    squares = scene.spread(scene.squares(spark, d).select("face_id", "brand"))
+    k = F.col("face_id")
+    corners = ((k, k + 1, k + 50), (k + 1, k + 51, k + 50))
+    tri = F.array(*(F.struct((2 * k + n).alias("face_id"), *(v.alias(f"v{m}") for m, v in enumerate(c)), F.col("brand").alias("class_id")) for n, c in enumerate(corners)))
+    return overlay.boundary_edges(squares.select(F.explode(tri).alias("t")).select("t.*"), squares.rdd.getNumPartitions())
 
 
 @query(f"""{ctes('faces', 'boxes')}, c as (select x, y, polygon_id, (x1 - x0) * (y1 - y0) + polygon_id % 3 area from faces join boxes on x > x0 and x < x1 and y > y0 and y < y1)

@@ -64,3 +64,9 @@ def test_closest_points_of_parallel_rays_are_those_of_sql(spark, tmp_path):
     events = [(97872, 1, 6.27), (97875, 2, 6.27), (97873, 3, 80.0), (8608, 1, 4.58), (8611, 1, 4.58)]
     spark.createDataFrame(events, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     assert_same(QUERIES["ray_point_average"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["ray_point_average"])
+
+
+def test_a_part_that_is_there_twice_with_two_brands_keeps_the_edges_of_each(spark, tmp_path):
+    parts = [(k, 1, "b") for k in range(0, 104)] + [(3, 1, "c")]
+    spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert_same(QUERIES["boundary_edges"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["boundary_edges"])
