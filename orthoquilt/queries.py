@@ -283,7 +283,7 @@ def distort_pixels(spark, d):
     k = F.col("p_partkey")
     params = F.create_map(F.lit("k1"), F.lit(_K1), F.lit("p1"), F.lit(_P1))
     rest = [F.lit(float(v)) for v in (1000, 3, -2, 800, 600)]
-    px = table(spark, d, "part").select(k, (k * 13 % 800).cast("double").alias("x"), (k * 7 % 600).cast("double").alias("y"))
+    px = scene.spread(table(spark, d, "part").select(k)).select(k, (k * 13 % 800).cast("double").alias("x"), (k * 7 % 600).cast("double").alias("y"))
     there = px.select("p_partkey", F.explode(F.array(distortion.warped(F.col("x"), F.col("y"), params, *rest))).alias("w"))
     back = there.select("p_partkey", "w", F.explode(F.array(distortion.ideal(F.col("w.x"), F.col("w.y"), params, *rest))).alias("i"))
     return back.select("p_partkey", F.round(F.col("w.x") + 3e-8, 6).alias("wx"), F.round(F.col("w.y") + 3e-8, 6).alias("wy"), F.round("i.x", 6).alias("ix"), F.round("i.y", 6).alias("iy"))

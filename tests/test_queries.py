@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from oracle import assert_same, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from orthoquilt.queries import ORACLE_SQL, QUERIES
@@ -70,3 +71,11 @@ def test_a_part_that_is_there_twice_with_two_brands_keeps_the_edges_of_each(spar
     parts = [(k, 1, "b") for k in range(0, 104)] + [(3, 1, "c")]
     spark.createDataFrame(parts, "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert_same(QUERIES["boundary_edges"](spark, str(tmp_path)), connect(str(tmp_path)), ORACLE_SQL["boundary_edges"])
+
+
+def test_rows_of_one_small_file_are_spread(spark, tmp_path):
+    from orthoquilt.plans import scene
+
+    spark.range(50_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert scene.spread(spark.range(5).where("false")).rdd.getNumPartitions() == 1
+    assert QUERIES["distort_pixels"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
