@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,40 @@ def cell_sides(rays: DataFrame, threshold: float, in_a_cell: float = 4.0) -> tup
     return tuple(max(least, mean[k]) if k == main else side for k in range(3))
 
 
+def closest(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """geometry.closest_points of many segments (n, 3), operation by operation, as arrays of pa, pb and dist; not numbers for a segment without length."""
+    dot = lambda a, b: a[:, 0] * b[:, 0] + a[:, 1] * b[:, 1] + a[:, 2] * b[:, 2]
+    cross = lambda a, b: np.stack([a[:, i] * b[:, j] - a[:, j] * b[:, i] for i, j in ((1, 2), (2, 0), (0, 1))], 1)
+    along = lambda p, u, s: p + u * s[:, None]
+    limit = lambda x, top: np.minimum(top, np.maximum(0.0, x))
+    with np.errstate(all="ignore"):
+        a, b, t = a1 - a0, b1 - b0, b0 - a0
+        la, lb = np.sqrt(dot(a, a)), np.sqrt(dot(b, b))
+        u, v = a * (1.0 / la)[:, None], b * (1.0 / lb)[:, None]
+        c = cross(u, v)
+        den = dot(c, c)
+        s0, s1 = dot(cross(t, v), c) / den, dot(cross(t, u), c) / den
+        p = along(a0, u, limit(s0, la))
+        q = along(b0, v, np.where((s0 >= 0) & (s0 <= la), limit(s1, lb), limit(dot(p - b0, v), lb)))
+        p = np.where(((s1 >= 0) & (s1 <= lb))[:, None], p, along(a0, u, limit(dot(q - a0, u), la)))
+        k = np.flatnonzero(den <= geometry.PARALLEL)
+        if len(k):
+            aa, bb, ab, at, bt = (dot(x[k], y[k]) for x, y in ((a, a), (b, b), (a, b), (a, t), (b, t)))
+            zero, one = np.zeros(len(k)), np.ones(len(k))
+            least = np.full(len(k), np.inf)
+            for s, w in ((zero, limit(-bt / bb, 1.0)), (one, limit((ab - bt) / bb, 1.0)), (limit(at / aa, 1.0), zero), (limit((at + ab) / aa, 1.0), one)):
+                x, y = along(a0[k], a[k], s), along(b0[k], b[k], w)
+                far = np.sqrt(dot(x - y, x - y))
+                nearer = far < least
+                least, p[k[nearer]], q[k[nearer]] = np.where(nearer, far, least), x[nearer], y[nearer]
+        return p, q, np.sqrt(dot(p - q, p - q))
+
+
+def points_in(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    """Columns of points as arrays (n, 3); missing ones are not numbers."""
+    return [np.stack([batch[n].flatten()[k].to_numpy(zero_copy_only=False).astype(float) for k in range(3)], 1) for n in names]
+
+
 def edges(
     rays: DataFrame, threshold: float, min_dist: float = 1e-6, transform: Callable[[Column], Column] = lambda d: d, cell: float | tuple[float, float, float] | None = None
 ) -> DataFrame:
@@ -83,8 +119,16 @@ def edges(
     pairs = placed.join(other, ["cx", "cy", "cz"]).where("ray_id < dst and camera_id <> other").select(F.col("ray_id").alias("src"), "dst").distinct()
     ends = lambda name: rays.select(F.col("ray_id").alias(name), F.col("start").alias(f"{name}_s"), F.col("end").alias(f"{name}_e"))
     met = pairs.join(ends("src"), "src").join(ends("dst"), "dst")
-    near_points = geometry.closest_points(F.col("src_s"), F.col("src_e"), F.col("dst_s"), F.col("dst_e"))
-    met = met.withColumn("dist", near_points["dist"]).where(F.col("dist") <= threshold)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *_, far = closest(*points_in(batch, "src_s", "src_e", "dst_s", "dst_e"))
+            near = pa.array(far <= threshold)
+            yield pa.RecordBatch.from_arrays([batch["src"].filter(near), batch["dst"].filter(near), pa.array(far).filter(near)], names=["src", "dst", "dist"])
+
+    met = met.select("src", "dst", "src_s", "src_e", "dst_s", "dst_e")
+    kind = rays.select(F.col("ray_id").alias("src"), F.col("ray_id").alias("dst"), F.lit(0.0).alias("dist")).schema
+    met = met.mapInArrow(measured, kind)
     dist = F.greatest(F.col("dist"), F.lit(float(min_dist)))
     return met.select("src", "dst", dist.alias("dist"), (1 / transform(dist)).alias("weight"))
 
@@ -101,9 +145,17 @@ def average_point(rays: DataFrame, key: str) -> DataFrame:
     cells = dealt.withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
     other = cells.select(key, "cell", F.col("block").alias("other"), F.col("ray_id").alias("dst"), F.col("start").alias("s"), F.col("end").alias("e"))
     met = cells.join(other, [key, "cell"]).where("ray_id < dst and (block <> other or cell.p = cell.q)")
-    met = met.withColumn("c", geometry.closest_points(F.col("start"), F.col("end"), F.col("s"), F.col("e"), clamp=True)).where("c is not null")
-    mean = lambda k: (F.avg((F.col(f"c.pa.{k}") + F.col(f"c.pb.{k}")) / 2)).alias(k)
-    return met.groupBy(key).agg(*map(mean, "xyz"))
+
+    def middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q, _ = closest(*points_in(batch, "start", "end", "s", "e"))
+            whole = ~np.isnan(p).any(1)
+            mid = (p[whole] + q[whole]) / 2
+            yield pa.RecordBatch.from_arrays([batch[key].filter(pa.array(whole)), *(pa.array(mid[:, k]) for k in range(3))], names=[key, *"xyz"])
+
+    zero = F.lit(0.0)
+    kind = rays.select(key, *(zero.alias(k) for k in "xyz")).schema
+    return met.select(key, "start", "end", "s", "e").mapInArrow(middles, kind).groupBy(key).agg(*(F.avg(k).alias(k) for k in "xyz"))
 
 
 def least_squares_point(rays: DataFrame, key: str) -> DataFrame:

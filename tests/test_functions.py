@@ -145,3 +145,22 @@ def test_distortion(spark):
     assert one(spark, k=distortion.key(params(k2=0.5, k1=1.0)))["k"] == "k1:1.00000000|k2:0.50000000|s:1.00000000"
     with pytest.raises(Exception, match="distortion"):
         one(spark, p=distortion.checked(params(k2=0.5)))
+
+
+def test_closest_points_in_numpy_are_those_of_the_columns(spark):
+    from orthoquilt.operators import rays
+
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(60, 4, 3)) * 20
+    p[40:50, 3] = p[40:50, 2] + (p[40:50, 1] - p[40:50, 0]) * rng.normal(size=(10, 1))  # parallel
+    p[50:55, 1] = p[50:55, 0]  # without length
+    names = [f"{a}{k}" for a in ("a0", "a1", "b0", "b1") for k in "xyz"]
+    df = spark.createDataFrame([(n, *map(float, x.ravel())) for n, x in enumerate(p)], "n int, " + ", ".join(f"{n} double" for n in names))
+    v = [vec(*(F.col(n + k) for k in "xyz")) for n in ("a0", "a1", "b0", "b1")]
+    want = {r["n"]: r["r"] for r in df.select("n", geometry.closest_points(*v).alias("r")).collect()}
+    pa, pb, dist = rays.closest(*(p[:, k] for k in range(4)))
+    for n in range(60):
+        if want[n] is None:
+            assert np.isnan(dist[n]) and 50 <= n < 55
+        else:
+            assert (*pa[n], *pb[n], dist[n]) == (*xyz(want[n]["pa"]), *xyz(want[n]["pb"]), want[n]["dist"])
