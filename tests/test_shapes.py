@@ -284,3 +284,29 @@ def test_confusion_of_layers(spark):
     cells = spark.createDataFrame([(i, j, "a" if j < 2 else "b") for i in range(4) for j in range(14)], "row long, col long, label string")
     found = {(r["true_label"], r["pred_label"]): (r["amount"], r["frac"]) for r in workflows.confusion_of_layers(truth, cells, 3.0, (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), True).collect()}
     assert found == {("a", "a"): (8, 0.5), ("a", "b"): (8, 0.5), ("b", "b"): (16, 1.0)}
+
+
+def test_edges_come_down_to_forests():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 900, 700), rng.integers(0, 900, 700)
+
+    def groups(a, b):
+        own = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = own.setdefault(x, {x}), own.setdefault(y, {y})
+            if p is not q:
+                p |= q
+                own.update(dict.fromkeys(q, p))
+        return {frozenset(g) for g in own.values()}
+
+    for most in (50, 10**6):
+        graph.FOREST_EDGES, was = most, graph.FOREST_EDGES
+        try:
+            out = pa.Table.from_batches(graph.forests(iter(pa.table({"src": a, "dst": b}).to_batches(max_chunksize=30)))).to_pydict()
+        finally:
+            graph.FOREST_EDGES = was
+        assert groups(np.array(out["src"]), np.array(out["dst"])) == groups(a, b)
+        assert most == 50 or len(out["src"]) == len({*a.tolist(), *b.tolist()})
+    assert list(graph.forests(iter([]))) == []
