@@ -310,3 +310,16 @@ def test_edges_come_down_to_forests():
         assert groups(np.array(out["src"]), np.array(out["dst"])) == groups(a, b)
         assert most == 50 or len(out["src"]) == len({*a.tolist(), *b.tolist()})
     assert list(graph.forests(iter([]))) == []
+
+
+def test_components_of_images_and_faces_are_covered_apart(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = {(int(i) + 10 * k, int(f) + 100 * k) for k in range(3) for i, f in zip(rng.integers(0, 10, 150 + 60 * k), rng.integers(0, 60, 150 + 60 * k))}
+    df = spark.createDataFrame(sorted(pairs), "image_id long, face_id long")
+    want = [tuple(r) for r in graph.greedy_cover(df, 1, 10**6).orderBy("rank").collect()]
+    rounds, by_rounds = [], graph.cover_by_rounds
+    monkeypatch.setattr(graph, "cover_by_rounds", lambda left, n: rounds.append(left.count()) or by_rounds(left, n))
+    sizes = [len({p for p in pairs if p[0] // 10 == k}) for k in range(3)]
+    for most in (max(sizes), max(sizes) - 1):
+        assert [tuple(r) for r in graph.greedy_cover(df, 1, most).orderBy("rank").collect()] == want
+    assert rounds[0] == 0 and 0 < rounds[1] <= max(sizes)
