@@ -6,6 +6,7 @@ split), then by an exact test. A polygon of many cells and a cell of many points
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,10 @@ from orthoquilt.functions import geometry
 from orthoquilt.relations import checkpointed
 
 
+#: Targets of a cell that `nearest` begins with, if they are spread evenly.
+IN_A_CELL = 0.5
+
+
 def bounds(rings: Column, k: str) -> tuple[Column, Column]:
     values = F.transform(F.flatten(rings), lambda p: p[k])
     return F.array_min(values), F.array_max(values)
@@ -122,23 +127,37 @@ def with_ground(values: DataFrame, heights: DataFrame, threshold: float, ground_
 def nearest(points: DataFrame, targets: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "y", "z"), limit: float | None = None, apart: bool = False) -> DataFrame:
     """point_id, target_id and dist of each point's nearest target (lowest id on a tie), by default however far it is; `apart` leaves out the target
     of the point's own id. Targets are looked for in the neighbouring cells of a grid of side `radius`, which is exact up to that distance; points
-    that found none there go on with a doubled radius, until all have one, or up to `limit`."""
+    that found none there go on with a doubled radius, until all have one, or up to `limit`. The first side is less where targets are dense, so that a cell
+    holds a few if they are spread evenly; of targets at the same place the two lowest ids are looked at, as no other can be the answer."""
     square = sum(((F.col(k) - F.col(f"t_{k}")) * (F.col(k) - F.col(f"t_{k}")) for k in axes), F.lit(0.0))
     cells = [f"__c{k}" for k in range(len(axes))]
     left = points.select("point_id", *axes).where(" and ".join(f"{k} is not null" for k in axes))
     side = targets.select("target_id", *(F.col(k).alias(f"t_{k}") for k in axes)).where(" and ".join(f"t_{k} is not null" for k in axes))
+    place = side.groupBy(*(f"t_{k}" for k in axes))
+    if apart:  # the lowest id may be the point's own
+        lowest = place.agg(F.min("target_id").alias("__a"))
+        met = side.join(lowest, [f"t_{k}" for k in axes])
+        second = met.where("target_id > __a").groupBy(*(f"t_{k}" for k in axes)).agg(F.min("target_id").alias("target_id"))
+        side = lowest.withColumnRenamed("__a", "target_id").unionByName(second)
+    else:
+        side = place.agg(F.min("target_id").alias("target_id"))
+    side = checkpointed(side.select("target_id", *(f"t_{k}" for k in axes)))
     span = side.agg(*(f(f"t_{k}") for k in axes for f in (F.min, F.max))).unionAll(left.agg(*(f(k) for k in axes for f in (F.min, F.max)))).collect()  # two rows
     found = []
     if span[0][0] is not None and span[1][0] is not None:
         most = max(max(r[2 * k + 1] for r in span) - min(r[2 * k] for r in span) for k in range(len(axes))) * len(axes) ** 0.5
         most = max(most, radius) if limit is None else limit
+        widths = [span[0][2 * k + 1] - span[0][2 * k] for k in range(len(axes))]
+        radius = max(min(radius, (math.prod(w or radius for w in widths) * IN_A_CELL / side.count()) ** (1 / len(axes))), most * 1e-6)
         while True:
             reach = min(radius, most)
             a, b = left, side
             for k, c in zip(axes, cells, strict=True):
                 a = a.withColumn(c, F.explode(F.sequence(_cell(F.col(k), reach) - 1, _cell(F.col(k), reach) + 1)))
                 b = b.withColumn(c, _cell(F.col(f"t_{k}"), reach))
-            met = a.join(b, cells).select("point_id", "target_id", F.round(F.sqrt(square), 9).alias("dist")).where(F.col("dist") <= reach)
+            met = a.join(b, cells).select("point_id", "target_id", F.round(F.sqrt(square), 9).alias("dist"))
+            # distances are rounded: one that is just beyond the cells could tie with one within
+            met = met.where(F.col("dist") <= (reach if reach >= most else reach - 1e-9))
             if apart:
                 met = met.where("point_id <> target_id")
             best = met.groupBy("point_id").agg(F.min(F.struct("dist", "target_id")).alias("m")).select("point_id", "m.target_id", "m.dist")

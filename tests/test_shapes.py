@@ -323,3 +323,11 @@ def test_components_of_images_and_faces_are_covered_apart(spark, monkeypatch):
     for most in (max(sizes), max(sizes) - 1):
         assert [tuple(r) for r in graph.greedy_cover(df, 1, most).orderBy("rank").collect()] == want
     assert rounds[0] == 0 and 0 < rounds[1] <= max(sizes)
+
+
+def test_nearest_looks_at_two_targets_of_a_place(spark):
+    rows = [(k, float(k % 7), 0.0, 0.0) for k in range(140)]
+    frame = lambda k: spark.createDataFrame(rows, f"{k} long, x double, y double, z double")
+    for apart in (False, True):
+        got = {r["point_id"]: (r["target_id"], r["dist"]) for r in spatial.nearest(frame("point_id"), frame("target_id"), 50.0, apart=apart).collect()}
+        assert got == {k: (k % 7 + 7 * (apart and k < 7), 0.0) for k in range(140)}
